@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrid.llm.nearest import nearest_join
 from talkgrid.llm.topn import top_n_per_group
-from talkgrid.operators.latest import latest_rows, squeezed
+from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +34,23 @@ WITH latest AS (SELECT * FROM events_timeline QUALIFY row_number() OVER (PARTITI
 SELECT file_id, label, event_id FROM clean WHERE label <> ''
 QUALIFY row_number() OVER (PARTITION BY file_id, label ORDER BY s DESC, event_id) <= 3
 """
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    def side(table: str, key: str) -> DataFrame:
+        rows = latest_rows(spark.read.parquet(f"{sf}/{table}.parquet"), key, "ingested_at", ["file_id", "start"])
+        return rows.filter(finite(F.col("start"))).select(key, "file_id", whole_ms(F.col("start")).alias("ms"))
+
+    return nearest_join(side("events_timeline", "event_id"), side("segments", "seg_id"), ["file_id"], "event_id", "ms", "seg_id", "ms", 750)
+
+
+SQL["p4_found"] = """
+WITH e AS (SELECT * FROM events_timeline QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC) = 1),
+     s AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1),
+     l AS (SELECT event_id, file_id, round("start" * 1000)::BIGINT AS t FROM e WHERE NOT isnan("start")),
+     r AS (SELECT file_id, round("start" * 1000)::BIGINT AS t, min(seg_id) AS seg_id FROM s WHERE NOT isnan("start") GROUP BY ALL),
+     cells AS (SELECT *, unnest([t // 751 - 1, t // 751, t // 751 + 1]) AS cell FROM r)
+SELECT seg_id, event_id FROM l JOIN cells ON l.file_id = cells.file_id AND l.t // 751 = cell AND abs(l.t - cells.t) <= 750
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(l.t - cells.t), cells.t, seg_id) = 1
+"""
