@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.operators.skew import heavy_rows
+from talkgrid.operators.skew import heavy_groups
 from talkgrid.storage import Workspace
 
 #: Length of a block in tolerances, for finding neighbours.
@@ -63,13 +63,13 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: st
     )
     probes = pick(left, left_time, left_id, "lid").withColumn("bucket", F.expr(f"floor(t / {width}D)"))
     # Written once, as the join and the search for busy buckets both read it.
-    probes = Workspace(left.sparkSession).write(probes, "probes")
-    place, limit = [*names, "bucket"], heavy_rows(total := probes.count())
-    zero = F.lit(0).cast("bigint")
-    if total > limit:
-        # At most MAX_HEAVY buckets have more left rows than the limit: they are split by a salt, for which their
-        # few intervals are repeated.
-        busy = F.broadcast(probes.groupBy(*place).agg((F.count(F.lit(1)) > limit).alias("busy")).filter("busy"))
+    space = Workspace(left.sparkSession)
+    probes = space.write(probes, "probes")
+    place, zero = [*names, "bucket"], F.lit(0).cast("bigint")
+    busy = heavy_groups(probes, place, probes.count(), space)
+    if busy is not None:
+        # The left rows of a busy bucket are split by a salt, for which its few intervals are repeated.
+        busy = F.broadcast(busy.withColumn("busy", F.lit(True)))
         salt = F.when(F.col("busy"), F.pmod(F.xxhash64("lid"), F.lit(SALTS))).otherwise(zero)
         probes = probes.join(busy, place, "left").withColumn("salt", salt).drop("busy")
         salts = F.when(F.col("busy"), F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.array(zero))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrid.llm.digest import certified, digest_groups, percentiles
 from talkgrid.llm.nearest import nearest_join
 from talkgrid.llm.topn import top_n_per_group
 from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
+from talkgrid.operators.skew import heavy_groups, join_groups
+from talkgrid.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,7 +27,7 @@ def query(f):
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     events = latest_rows(spark.read.parquet(f"{sf}/events_timeline.parquet"), "event_id", "ingested_at", ["file_id", "label", "score"])
     events = events.withColumn("label", F.lower(squeezed(F.col("label")))).filter("label <> ''")
-    return top_n_per_group(events, ["file_id", "label"], "score", "event_id", 3, decimals=4)
+    return top_n_per_group(events, ["file_id", "label"], "score", "event_id", 3, decimals=4, unique=True)
 
 
 SQL["p1_found"] = r"""
@@ -54,3 +57,44 @@ WITH e AS (SELECT * FROM events_timeline QUALIFY row_number() OVER (PARTITION BY
 SELECT seg_id, event_id FROM l JOIN cells ON l.file_id = cells.file_id AND l.t // 751 = cell AND abs(l.t - cells.t) <= 750
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(l.t - cells.t), cells.t, seg_id) = 1
 """
+
+
+MEASURES = ["wpm", "f0_mean_hz"]
+PERCENTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+def _measures(spark: SparkSession, sf: str):
+    """Values of the measures by speaker, written once; how many; the speakers with a large part of them; the percentiles."""
+    rows = latest_rows(spark.read.parquet(f"{sf}/segments.parquet"), "seg_id", "ingested_at", ["speaker_id", *MEASURES])
+    pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("field_name"), F.col(m).alias("x")) for m in MEASURES]))
+    values = rows.filter(squeezed(F.col("speaker_id")) != "").select("seg_id", "speaker_id", pairs)
+    space, keys = Workspace(spark), ["speaker_id", "field_name"]
+    values = space.write(values.filter(finite(F.col("x")) & (F.col("x") > 0)), "values")
+    total = values.count()
+    digests = digest_groups(values, keys, "x", "seg_id", total)
+    return values, heavy_groups(values, keys, total, space), percentiles(digests, keys, PERCENTILES), keys
+
+
+@query
+def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    values, heavy, found, keys = _measures(spark, sf)
+    return certified(values, found, keys, "x", PERCENTILES, heavy).select(
+        *keys, "n", *[F.col(f"p{j}").alias(f"p{round(p * 100)}") for j, p in enumerate(PERCENTILES)], "rank_error"
+    )
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    values, heavy, found, keys = _measures(spark, sf)
+    bounds = found.select(*keys, F.col("p0").alias("p10"), F.col(f"p{len(PERCENTILES) - 1}").alias("p90"))
+    return join_groups(values, bounds, keys, heavy).filter("x > 3 * p90 OR x < p10 / 3").select("seg_id", "field_name")
+
+
+SQL["p5_found"] = """
+WITH latest AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1),
+     vals AS (SELECT seg_id, speaker_id, 'wpm' AS field_name, wpm AS x FROM latest UNION ALL
+              SELECT seg_id, speaker_id, 'f0_mean_hz' AS field_name, f0_mean_hz AS x FROM latest),
+     good AS (SELECT * FROM vals WHERE x > 0 AND NOT isnan(x) AND trim(speaker_id) <> ''),
+     bounds AS (SELECT speaker_id, field_name, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90 FROM good GROUP BY ALL)
+SELECT seg_id, field_name FROM good JOIN bounds USING (speaker_id, field_name) WHERE x > 3 * p90 OR x < p10 / 3
+"""
