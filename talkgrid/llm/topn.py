@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.operators.skew import join_groups
+from talkgrid.operators.skew import heavy_groups
 from talkgrid.storage import Workspace
 
 #: Sections into which a round cuts an interval. Each round narrows an interval by this factor.
@@ -41,13 +41,41 @@ def double_code(x: Column) -> Column:
 _SECTION = f"CASE WHEN lo < 0 AND hi >= 0 THEN IF(v >= 0, 1L, 0L) ELSE (v - lo) div ((hi - lo) div {SECTIONS} + 1) END"
 
 
-def top_n_per_group(df: DataFrame, keys: list[str], score: str, ident: str, n: int, decimals: int | None = None) -> DataFrame:
+def _round(rows: DataFrame, names: list[str], hot: bool) -> DataFrame:
+    """One bisection of the group intervals carried by ``rows``: what is chosen, and what is still in question.
+
+    Groups that are not hot lie whole in one partition of ``rows``, so nothing of this is shuffled. Hot ones are
+    counted where they lie, and only their counts move.
+    """
+    rows = rows.withColumn("v", F.when(F.col("by_id"), F.col("i")).otherwise(F.col("c")))
+    rows = rows.withColumn("s", F.expr(_SECTION)).drop("lo", "hi")
+    counts = rows.groupBy(*names, "s").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.first("by_id").alias("by_id"), F.first("need").alias("need")
+    )
+    group = Window.partitionBy(*names)
+    counts = counts.withColumn("upto", F.sum("cnt").over(group.orderBy(F.col("s").desc()))).withColumn("size", F.sum("cnt").over(group))
+    # the section with the cutoff, or the lowest one where the group has no more items than needed
+    cut = counts.filter("(upto >= need AND upto - cnt < need) OR (upto = size AND size < need)").select(
+        *names, F.col("s").alias("cut"), "v0", "v1",
+        F.expr("need - (upto - cnt)").alias("left"), F.expr("cnt <= need - (upto - cnt)").alias("all_in"),
+    )
+    joined = rows.drop("need", "v").join(F.broadcast(cut) if hot else cut, names).filter("s >= cut")
+    return joined.select(
+        *names, "c", "i", F.col("left").alias("need"), F.expr("s > cut OR all_in").alias("chosen"),
+        # items of one score are told apart by identifier; its interval is that of all until the next round
+        F.expr("by_id OR v0 = v1").alias("by_id"),
+        F.expr("CASE WHEN by_id OR v0 < v1 THEN v0 END").alias("lo"), F.expr("CASE WHEN by_id OR v0 < v1 THEN v1 END").alias("hi"),
+    )
+
+
+def top_n_per_group(df: DataFrame, keys: list[str], score: str, ident: str, n: int, decimals: int | None = None, unique: bool = False) -> DataFrame:
     """The ``n`` best rows of each group of ``keys``: highest ``score`` first, of equal scores the smaller ``ident``.
 
-    ``ident`` is a bigint; rows that repeat key, score and ``ident`` count once. Scores are compared after rounding
-    to ``decimals``, if given. Rows with a null key, null or NaN score, or null ``ident`` don't take part; a group of
-    up to ``n`` rows comes out whole; an empty table gives an empty table. Result: ``keys`` and ``ident``; other
-    columns are neither read nor confused with those of the operator.
+    ``ident`` is a bigint; rows that repeat key, score and ``ident`` count once (``unique``: there are none, so they
+    aren't looked for). Scores are compared after rounding to ``decimals``, if given. Rows with a null key, null or
+    NaN score, or null ``ident`` don't take part; a group of up to ``n`` rows comes out whole; an empty table gives an
+    empty table. Result: ``keys`` and ``ident``; other columns are neither read nor confused with those of the
+    operator. Needs a job a round; rounds end when no group is in question.
     """
     spark = df.sparkSession
     names = [f"k{j}" for j in range(len(keys))]
@@ -58,36 +86,27 @@ def top_n_per_group(df: DataFrame, keys: list[str], score: str, ident: str, n: i
         .select(*names, double_code(F.col("x")).alias("c"), "i")
     )
     space = Workspace(spark)
-    items = space.write(items, "items")
-    total, lo, hi = items.agg(F.count(F.lit(1)), F.min("c"), F.max("c")).first()
+    rows = space.write(items if unique else items.distinct(), "rest")
+    total, lo, hi, id_lo, id_hi = rows.agg(F.count(F.lit(1)), F.min("c"), F.max("c"), F.min("i"), F.max("i")).first()
+    long = lambda x: F.lit(x).cast("bigint")
+    found = [rows.select(*names, "i").limit(0)]
+    hot = heavy_groups(rows, names, total, space)
     # a round's rows carry the interval of their group: whether it is one of identifiers, its ends, and the need
-    rows = items.select(*names, "c", "i", F.lit(False).alias("by_id"), F.lit(lo or 0).cast("bigint").alias("lo"), F.lit(hi or 0).cast("bigint").alias("hi"), F.lit(n).cast("bigint").alias("need"))
-    found, round_no = [], 0
+    rows = rows.select(*names, "c", "i", long(n).alias("need"), F.lit(False).alias("by_id"), long(lo).alias("lo"), long(hi).alias("hi"))
+    round_no = 0
     while total:
-        rows = rows.withColumn("v", F.when(F.col("by_id"), F.col("i")).otherwise(F.col("c"))).withColumn("s", F.expr(_SECTION)).drop("v", "lo", "hi")
-        counts = rows.groupBy(*names, "s").agg(
-            F.count(F.lit(1)).alias("cnt"), F.first("by_id").alias("by_id"), F.first("need").alias("need"),
-            F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("i").alias("i0"), F.max("i").alias("i1"),
-        )
-        group = Window.partitionBy(*names)
-        counts = counts.withColumn("upto", F.sum("cnt").over(group.orderBy(F.col("s").desc()))).withColumn("weight", F.sum("cnt").over(group))
-        # the section with the cutoff, or the lowest one where the group has no more items than needed
-        cut = counts.filter("(upto >= need AND upto - cnt < need) OR (upto = weight AND weight < need)").select(
-            *names, F.col("s").alias("cut"), "weight",
-            F.expr("need - (upto - cnt)").alias("left"), F.expr("cnt <= need - (upto - cnt)").alias("all_in"),
-            F.expr("by_id OR c0 = c1").alias("next_by_id"),
-            F.expr("IF(by_id OR c0 = c1, i0, c0)").alias("lo"), F.expr("IF(by_id OR c0 = c1, i1, c1)").alias("hi"),
-        )
-        joined = join_groups(rows.drop("by_id", "need"), cut, names, "weight", total).filter("s >= cut")
-        step = joined.select(
-            *names, "c", "i", F.col("next_by_id").alias("by_id"), "lo", "hi", F.col("left").alias("need"),
-            F.expr("s > cut OR all_in OR (lo = hi AND next_by_id)").alias("chosen"),
-        )
+        light = rows if hot is None else rows.join(F.broadcast(hot), names, "left_anti")
+        step = _round(light.repartition(*names), names, hot=False)
+        if hot is not None:
+            step = step.unionByName(_round(rows.join(F.broadcast(hot), names, "left_semi"), names, hot=True))
+        step = step.withColumn("lo", F.coalesce("lo", long(id_lo))).withColumn("hi", F.coalesce("hi", long(id_hi)))
         done = space.write(step, f"round{round_no}", ["chosen"])
+        if round_no == 0:
+            space.drop("rest")
         found.append(done.filter("chosen").select(*names, "i"))
         rows = done.filter("NOT chosen").drop("chosen")
         total, round_no = rows.count(), round_no + 1
-    result = found[0] if found else items.select(*names, "i")
+    result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
-    return result.distinct().select(*[F.col(a).alias(k) for k, a in zip(keys, names)], F.bitwise_not(F.col("i")).alias(ident))
+    return result.select(*[F.col(a).alias(k) for k, a in zip(keys, names)], F.bitwise_not(F.col("i")).alias(ident))
