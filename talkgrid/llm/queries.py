@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrid.llm.bpe import count_tokens, decode_ids, encode_texts
 from talkgrid.llm.digest import certified, digest_groups, percentiles
 from talkgrid.llm.nearest import nearest_join
 from talkgrid.llm.topn import top_n_per_group
@@ -98,3 +99,19 @@ WITH latest AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY s
      bounds AS (SELECT speaker_id, field_name, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90 FROM good GROUP BY ALL)
 SELECT seg_id, field_name FROM good JOIN bounds USING (speaker_id, field_name) WHERE x > 3 * p90 OR x < p10 / 3
 """
+
+
+@query
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(spark.read.parquet(f"{sf}/documents.parquet"), "text", ["doc_id"])
+
+
+@query
+def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that don't come back from their ids as they were: none, but for null texts, which come back empty."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    back = decode_ids(encode_texts(docs, "text", ["doc_id", "text"]).withColumnRenamed("text", "before"), "ids", ["doc_id", "before"])
+    return back.groupBy().agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce("before", F.lit("")) != F.col("text")).alias("changed"))
+
+
+SQL["p6_round_trip"] = "SELECT count(*) AS documents, 0::BIGINT AS changed FROM documents"
