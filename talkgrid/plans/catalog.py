@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrid.operators.coverage import periods_and_gaps
+from talkgrid.operators.drift import canonical_names, consistent_table, drift_report, field_statistics, load_records
 from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
+from talkgrid.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +43,24 @@ SELECT file_id, speaker_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM pe
 UNION ALL
 SELECT file_id, speaker_id, 'gap' AS kind, e AS start_ms, next_s AS end_ms FROM following WHERE next_s - e <= 600000
 """
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    records = load_records(spark.read.parquet(f"{sf}/raw_exports.parquet"))
+    return drift_report(records).select("export_id", "field_name", "change")
+
+
+def _consistent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = Workspace(spark).write(load_records(spark.read.parquet(f"{sf}/raw_exports.parquet")), "records")
+    return consistent_table(records, canonical_names(drift_report(records, stored=True), field_statistics(records)))
+
+
+@query
+def p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    return _consistent(spark, sf)[0]
+
+
+@query
+def p2_casts(spark: SparkSession, sf: str) -> DataFrame:
+    return _consistent(spark, sf)[1]
