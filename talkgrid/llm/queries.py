@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.llm.bpe import count_tokens, decode_ids, encode_texts
 from talkgrid.llm.digest import certified, digest_groups, percentiles
+from talkgrid.llm.mixing import mix_sources
 from talkgrid.llm.nearest import nearest_join
 from talkgrid.llm.topn import top_n_per_group
 from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
@@ -115,3 +116,25 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["p6_round_trip"] = "SELECT count(*) AS documents, 0::BIGINT AS changed FROM documents"
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    clean = F.lower(squeezed(F.col("source")))
+    sizes = count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), "text", ["doc_id", "source"]).withColumn("source", clean)
+    targets = spark.read.parquet(f"{sf}/mix_targets.parquet").withColumn("source", clean)
+    return mix_sources(sizes, targets, "doc_id", "source", "n_tokens")
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1].filter("short").select("source")
+
+
+@query
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
+@query
+def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
