@@ -11,6 +11,7 @@ from talkgrid.llm.bpe import count_tokens, decode_ids, encode_texts
 from talkgrid.llm.digest import certified, digest_groups, percentiles
 from talkgrid.llm.mixing import mix_sources
 from talkgrid.llm.nearest import nearest_join
+from talkgrid.llm.quality import text_statistics
 from talkgrid.llm.topn import top_n_per_group
 from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
 from talkgrid.operators.skew import heavy_groups, join_groups
@@ -138,3 +139,13 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[0]
+
+
+@query
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return text_statistics(spark.read.parquet(f"{sf}/documents.parquet"), "text", ["doc_id"], spark.read.parquet(f"{sf}/common_words.parquet"))
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_statistics(spark, sf).filter("NOT is_prose").select("doc_id")
