@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,6 @@ LEAST_PAIR_COUNT, ENCODED = 24, (0x100, 0x250)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _TOKEN = re.compile(r"\w+(?:['’.,:\-]\w+)*")
-_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _QUOTE = re.compile(r"\s*(?:>+\s*)+")
 _MARK = re.compile(r"<\|[\w ]*\|>")
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?"
@@ -53,6 +53,7 @@ _ENDS = re.compile(r"[.!?…。！？؟]['\"”’»)\]]*\s*(?:\(\s*[\d.,:]+\s*s
 _CLAUSES = re.compile(r"[.!?…;:,|()\[\]。！？、，؟،]+(?:\s|$)|[。！？、，]")
 _PAIRS_OF_KEY = re.compile(r"(?:^|[\s,;&])[\w.-]+=\S")
 _COMMA_CELL = re.compile(r"""[;,]\s""")
+_BLANK_LINES = re.compile(r"\n\s*\n")
 _CSV = re.compile(r""",(?=[^\s"”’'»])|(?<=,),""")
 _COLUMNS = re.compile(r" {2,}|\t")
 #: Scripts written without spaces between words; two signs count as a word.
@@ -82,6 +83,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _PLACE, _KIND = _tables()
+#: The kinds with a bit.
+_HAS = {bit: np.array([k for k in range(32) if k & bit]) for bit in (_LETTER, _DIGIT, _BLANK, _ENCODED, _DENSE)}
 
 
 def code_points(text: str) -> np.ndarray:
@@ -105,10 +108,10 @@ def _is_row(line: str) -> bool:
     s = line.strip()
     if len(s) > 1 and s[0] in "{[" and s[-1] in "}]" and ":" in s:
         return True
-    if "=" in s and len(_PAIRS_OF_KEY.findall(s)) >= 2:
+    if s.count("=") > 1 and len(_PAIRS_OF_KEY.findall(s)) >= 2:
         return True
     for mark, cells, most in (("|", "|", 6), ("\t", "\t", 6), (";", ";", 6), (",", _CSV, 6), ("  ", _COLUMNS, 5)):
-        if mark not in s:
+        if s.count(mark) < 2 or (mark == "," and s.count(",") - s.count(", ") < 2):
             continue
         parts = s.split(cells) if isinstance(cells, str) else cells.split(s)
         if len(parts) >= 3 and max(len(p.split()) for p in parts) <= most:
@@ -133,10 +136,10 @@ def _joined(lines: list[str]) -> list[str]:
     return [" ".join(lines)] if full >= 0.75 * n else lines
 
 
-def units(text: str) -> list[tuple[str, str]]:
-    """Lines as (kind, text): ``prose``, ``list``, ``table``, ``signs`` (no words), ``head`` or ``mark`` (neutral)."""
-    lines = [_MARK.sub(" ", x) for x in _LINES.split(text)] if "<|" in text else _LINES.split(text)
-    letter_bullets = sum(1 for x in lines if _LETTER_BULLET.match(x)) >= 3
+def units(lines: list[str]) -> list[tuple[str, str]]:
+    """``lines`` as (kind, text): ``prose``, ``list``, ``table``, ``signs`` (no words), ``head`` or ``mark`` (neutral)."""
+    lines = [_MARK.sub(" ", x) if "<|" in x else x for x in lines]
+    letter_bullets = sum(1 for x in lines if x.lstrip()[:2] == "o ") >= 3
     out: list[tuple[str, str]] = []
     plain: list[str] = []
 
@@ -171,9 +174,12 @@ def units(text: str) -> list[tuple[str, str]]:
             flush()
             out.append(("table", line))
             continue
-        stamp = _STAMP.match(line)
+        first = line.lstrip()[:1]
+        letter = first.isalpha()
+        stamp = None if letter else _STAMP.match(line)
         body = line[stamp.end() :] if stamp else line
-        speaker = _SPEAKER.match(body)
+        head = body[:40]
+        speaker = _SPEAKER.match(body) if ":" in head or "-" in head or first == "<" or "–" in head or "—" in head else None
         if speaker:
             flush()
             said = body[speaker.end() :]
@@ -189,7 +195,7 @@ def units(text: str) -> list[tuple[str, str]]:
             else:
                 settle(body)
             continue
-        bullet = _BULLET.match(line) or (letter_bullets and _LETTER_BULLET.match(line))
+        bullet = _BULLET.match(line) if not letter or line.lstrip()[1:2] in (".", ")") else letter_bullets and _LETTER_BULLET.match(line)
         if bullet:
             flush()
             item = line[bullet.end() :]
@@ -206,15 +212,32 @@ def _repeated(parts: list[str]) -> float:
     return 1 - len(set(parts)) / len(parts) if parts else 0.0
 
 
-def phrase_coverage(tokens: list[str]) -> float:
-    """Share of the characters that lie in the most frequent phrase of 1 to ``PHRASE`` words (it must occur 4 times)."""
+def phrase_coverage(tokens: list[str], counts: Counter) -> float:
+    """Share of the characters that lie in the most frequent phrase of 1 to ``PHRASE`` words (it must occur 4 times).
+
+    ``counts`` are those of ``tokens``. Only words that occur 4 times themselves can be in such a phrase.
+    """
     total, best = sum(map(len, tokens)), 0.0
+    often = {t: i for i, (t, n) in enumerate(counts.items()) if n >= 4}
+    if not often:
+        return best
+    ids = np.fromiter(map(often.get, tokens, repeat(-1)), np.int64, len(tokens))
+    words, base = list(often), len(often)
+    codes, inside = ids, ids >= 0
     for k in range(1, PHRASE + 1):
-        phrase, n = Counter(zip(*[tokens[i:] for i in range(k)])).most_common(1)[0] if len(tokens) >= k else ((), 0)
-        if n < 4:
+        if k > 1:
+            if len(tokens) < k:
+                break
+            inside = inside[:-1] & (ids[k - 1 :] >= 0)
+            codes = codes[:-1] * base + ids[k - 1 :]
+        found, times = np.unique(codes[inside], return_counts=True)
+        if not len(times) or times.max() < 4:
             break  # longer phrases are no more frequent
+        n, code, length = int(times.max()), int(found[times.argmax()]), 0
+        for _ in range(k):
+            length, code = length + len(words[code % base]), code // base
         # a phrase of one word over and over overlaps itself
-        best = max(best, min(1.0, n * sum(map(len, phrase)) / total))
+        best = max(best, min(1.0, n * length / total))
     return best
 
 
@@ -230,31 +253,40 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
     """The values of ``FIELDS`` for one text; ``is_prose`` is None where there is nothing but white space."""
     if text is None or not text or text.isspace():
         return (0, None, None, None, None, None, None, None, None, None, None, None, None, None)
-    lines = [x for x in _LINES.split(text) if x and not x.isspace()]
+    split = text.splitlines()
+    lines = [x for x in split if x and not x.isspace()]
     kinds: Counter = Counter()
     sentences = []
-    for kind, unit in units(text):
+    for kind, unit in units(split):
         kinds[kind] += len(unit)
         if kind == "prose":
             sentences.append(unit)
     judged = sum(n for kind, n in kinds.items() if kind not in ("head", "mark")) or 1
     prose_share, list_share, table_share = kinds["prose"] / judged, kinds["list"] / judged, kinds["table"] / judged
     tokens = _TOKEN.findall(text.lower())
-    words = [t for t in tokens if not t[0].isdigit()]
     points = code_points(text)
     kinds_of = np.bincount(_KIND[points], minlength=32)
-    count = lambda bit: int(kinds_of[[k for k in range(32) if k & bit]].sum())
+    count = lambda bit: int(kinds_of[_HAS[bit]].sum())
     letters, signs = count(_LETTER), len(points) - count(_BLANK)
     marks = signs - letters - count(_DIGIT)
-    masks = Counter(map(common.get, words))
-    common_share = max((sum(n for m, n in masks.items() if m and m >> k & 1) for k in range(languages)), default=0) / len(words) if words else 0.0
-    coverage = phrase_coverage(tokens) if tokens else 0.0
+    times = Counter(tokens)
+    masks: Counter = Counter()
+    n_words = n_signs = 0
+    for t, n in times.items():
+        if not t[0].isdigit():
+            n_words, n_signs = n_words + n, n_signs + n * len(t)
+            if t in common:
+                masks[common[t]] += n
+    common_share = max((sum(n for m, n in masks.items() if m >> k & 1) for k in range(languages)), default=0) / max(1, n_words)
+    coverage = phrase_coverage(tokens, times) if tokens else 0.0
     pairs = letter_pairs(points)
     score = float(model[pairs].mean()) if len(pairs) >= LEAST_PAIR_COUNT else None
     unspaced, encoded = count(_DENSE) > 0.3 * signs, count(_ENCODED) > 0.5 * max(1, letters)
     blank = np.concatenate([[True], (_KIND[points] & _BLANK) > 0])
     length = signs / max(1, int((blank[:-1] & ~blank[1:]).sum()))  # of what stands between white space
-    if sentences:
+    if prose_share > 0.98:
+        letter_share = letters / signs
+    elif sentences:
         spoken = _KIND[code_points("".join(sentences))]
         letter_share = float(((spoken & _LETTER) > 0).sum() / max(1, ((spoken & _BLANK) == 0).sum()))
     else:
@@ -265,12 +297,12 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
         and (unspaced or WORD_LENGTH[0] <= length <= WORD_LENGTH[1])
         and not encoded
         and (score is None or score >= LEAST_PAIRS)
-        and not (len(words) >= LEAST_WORDS and common_share > MOST_COMMON)
+        and not (n_words >= LEAST_WORDS and common_share > MOST_COMMON)
         and not (len(tokens) >= LEAST_WORDS and coverage > MOST_REPEATED)
     )
     return (
-        len(words), sum(map(len, words)) / len(words) if words else None, marks / signs, letters / signs, sum(1 for x in lines if _ENDS.search(x)) / len(lines),
-        common_share, _repeated(lines), _repeated([p for p in re.split(r"\n\s*\n", text) if p.strip()]), coverage,
+        n_words, n_signs / n_words if n_words else None, marks / signs, letters / signs, sum(1 for x in lines if _ENDS.search(x, max(0, len(x) - 40))) / len(lines),
+        common_share, _repeated(lines), _repeated([p for p in _BLANK_LINES.split(text) if p.strip()] if len(lines) < len(split) else [text]), coverage,
         prose_share, list_share, table_share, score, is_prose,
     )
 
