@@ -51,18 +51,8 @@ def _islands(df: DataFrame, part: list[str], keep: bool = False) -> DataFrame:
     return df if keep else df.drop("upto")
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, min_members: int = 1, max_gap: int | None = None) -> DataFrame:
-    """Periods and gaps of the intervals [``start``, ``end``) (bigint) of each entity of ``keys``.
-
-    Intervals that overlap or touch form a period. Result: ``keys``, ``kind``, ``start_ms``, ``end_ms``: kind
-    ``period`` for periods of at least ``min_members`` intervals, ``gap`` for the time between one period (of any
-    size) and the next of the entity, if it is no longer than ``max_gap``. Rows with a null key, a null time or an
-    end not after the start don't take part; repeated rows count as intervals of their own; an empty table gives an
-    empty table. Other columns are not read. A single interval may have any length: it makes at most three pieces.
-    """
-    names = [f"k{j}" for j in range(len(keys))]
-    valid = " AND ".join([f"{a} IS NOT NULL" for a in names] + ["s < e"])
-    intervals = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(start).alias("s"), F.col(end).alias("e")).filter(valid)
+def _periods(intervals: DataFrame, names: list[str]) -> DataFrame:
+    """Periods (s, e, n members, next_s) of the valid ``intervals`` (s, e) of each entity."""
     shard = [*names, "shard"]
     containers = _pieces(intervals, names).groupBy(*shard, "s").agg(F.max("e").alias("e"), F.sum("n").alias("n"))
     runs = _islands(containers, shard).groupBy(*shard, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
@@ -84,8 +74,29 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, min_m
     after = F.lead("s").over(Window.partitionBy(*names).orderBy("s"))
     # the run that follows lies in the shard of the last member, or else it is the next edge run
     edge = edge.select(*names, "s", "e", "n", F.coalesce(F.col("tail.next_s"), after).alias("next_s"))
+    return inner.unionByName(edge)
+
+
+def merged_periods(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``s``, ``e``, ``n`` (members) of the periods of the intervals [s, e) with known keys and ``s < e``."""
+    valid = " AND ".join([f"{k} IS NOT NULL" for k in keys] + ["s < e"])
+    return _periods(intervals.select(*keys, "s", "e").filter(valid), keys).drop("next_s")
+
+
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, min_members: int = 1, max_gap: int | None = None) -> DataFrame:
+    """Periods and gaps of the intervals [``start``, ``end``) (bigint) of each entity of ``keys``.
+
+    Intervals that overlap or touch form a period. Result: ``keys``, ``kind``, ``start_ms``, ``end_ms``: kind
+    ``period`` for periods of at least ``min_members`` intervals, ``gap`` for the time between one period (of any
+    size) and the next of the entity, if it is no longer than ``max_gap``. Rows with a null key, a null time or an
+    end not after the start don't take part; repeated rows count as intervals of their own; an empty table gives an
+    empty table. Other columns are not read. A single interval may have any length: it makes at most three pieces.
+    """
+    names = [f"k{j}" for j in range(len(keys))]
+    valid = " AND ".join([f"{a} IS NOT NULL" for a in names] + ["s < e"])
+    intervals = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(start).alias("s"), F.col(end).alias("e")).filter(valid)
+    both = _periods(intervals, names)
     gap = F.expr("next_s IS NOT NULL" + (f" AND next_s - e <= {int(max_gap)}L" if max_gap is not None else ""))
-    both = inner.unionByName(edge)
     out = F.array(
         F.when(F.col("n") >= min_members, F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))),
         F.when(gap, F.struct(F.lit("gap").alias("kind"), F.col("e").alias("start_ms"), F.col("next_s").alias("end_ms"))),

@@ -1,66 +1,9 @@
-"""Queries over the project's tables, and the SQL they are checked against."""
+"""All queries over the project's tables, and the SQL they are checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from talkgrid.plans import conversation, coverage
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from talkgrid.operators.coverage import periods_and_gaps
-from talkgrid.operators.drift import canonical_names, consistent_table, drift_report, field_statistics, load_records
-from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
-from talkgrid.storage import Workspace
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-@query
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = latest_rows(spark.read.parquet(f"{sf}/segments.parquet"), "seg_id", "ingested_at", ["file_id", "speaker_id", "start", "end"])
-    rows = rows.filter(finite(F.col("start")) & finite(F.col("end")) & (squeezed(F.col("speaker_id")) != ""))
-    spans = rows.select("file_id", "speaker_id", whole_ms(F.col("start")).alias("s"), whole_ms(F.col("end")).alias("e"))
-    return periods_and_gaps(spans, ["file_id", "speaker_id"], "s", "e", min_members=2, max_gap=600_000)
-
-
-SQL["p3_found"] = r"""
-WITH latest AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1),
-     spans AS (SELECT file_id, speaker_id, round("start" * 1000)::BIGINT AS s, round("end" * 1000)::BIGINT AS e, seg_id FROM latest
-               WHERE NOT isnan("start") AND NOT isnan("end") AND trim(speaker_id) <> '' AND file_id IS NOT NULL),
-     marked AS (SELECT *, max(e) OVER (PARTITION BY file_id, speaker_id ORDER BY s, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
-                FROM spans WHERE e > s),
-     numbered AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto THEN 1 ELSE 0 END)
-                            OVER (PARTITION BY file_id, speaker_id ORDER BY s, seg_id ROWS UNBOUNDED PRECEDING) AS g FROM marked),
-     periods AS (SELECT file_id, speaker_id, min(s) AS s, max(e) AS e, count(*) AS n FROM numbered GROUP BY file_id, speaker_id, g),
-     following AS (SELECT *, lead(s) OVER (PARTITION BY file_id, speaker_id ORDER BY s) AS next_s FROM periods)
-SELECT file_id, speaker_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM periods WHERE n >= 2
-UNION ALL
-SELECT file_id, speaker_id, 'gap' AS kind, e AS start_ms, next_s AS end_ms FROM following WHERE next_s - e <= 600000
-"""
-
-
-@query
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    records = load_records(spark.read.parquet(f"{sf}/raw_exports.parquet"))
-    return drift_report(records).select("export_id", "field_name", "change")
-
-
-def _consistent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    records = Workspace(spark).write(load_records(spark.read.parquet(f"{sf}/raw_exports.parquet")), "records")
-    return consistent_table(records, canonical_names(drift_report(records, stored=True), field_statistics(records)))
-
-
-@query
-def p2_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _consistent(spark, sf)[0]
-
-
-@query
-def p2_casts(spark: SparkSession, sf: str) -> DataFrame:
-    return _consistent(spark, sf)[1]
+SUBJECTS = [coverage, conversation]
+QUERIES = {name: f for subject in SUBJECTS for name, f in subject.R.queries.items()}
+SQL = {name: text for subject in SUBJECTS for name, text in subject.R.sql.items()}
