@@ -45,6 +45,16 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], value: Col
     return out.select(*df.columns, F.coalesce("__known", "__carried").alias(name))
 
 
+def with_position(df: DataFrame, keys: list[str], order: list[str], block: int = BLOCK) -> DataFrame:
+    """``df`` with ``pos``: the number of rows before, in the group of ``keys`` by ``order``; in blocks, as ``with_previous``."""
+    place = [*keys, "__block"]
+    rows = df.withColumn("__block", F.expr(f"floor({order[0]} / {float(block)}D)"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__n")).select(*place, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy(*order))
+    return rows.withColumn("__row", inside).join(base, place).select(*df.columns, (F.col("__base") + F.col("__row") - 1).alias("pos"))
+
+
 def turns(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Segments that begin a turn: the first of a group, or by another speaker than the row before; not empty ones.
 
