@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from talkgrid.plans import conversation, coverage, sound, speakers
+from talkgrid.plans import conversation, coverage, rules, sound, speakers, text
 
-SUBJECTS = [coverage, conversation, speakers, sound]
+SUBJECTS = [coverage, conversation, speakers, sound, rules, text]
 QUERIES = {name: f for subject in SUBJECTS for name, f in subject.R.queries.items()}
 SQL = {name: text for subject in SUBJECTS for name, text in subject.R.sql.items()}
