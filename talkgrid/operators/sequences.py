@@ -72,9 +72,10 @@ def gap_merge(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """
     from talkgrid.operators.coverage import merged_periods
 
-    wide = df.select(*keys, "s", (F.col("e") + gap + 1).alias("e"))  # runs that touch are one; so the distance may be the gap itself
+    # In half units, so that spans of a point have a length, and only distances up to the gap close.
+    wide = df.select(*keys, (F.col("s") * 2).alias("s"), (F.col("e") * 2 + 2 * gap + 1).alias("e"))
     merged = merged_periods(wide, keys)
-    return merged.select(*keys, "s", (F.col("e") - gap - 1).alias("e"), F.col("n").alias("members"))
+    return merged.select(*keys, F.expr("s div 2").alias("s"), F.expr(f"(e - {2 * gap + 1}) div 2").alias("e"), F.col("n").alias("members"))
 
 
 def hysteresis(frames: DataFrame, keys: list[str], enter: float, leave: float, block: int = 8192) -> DataFrame:
