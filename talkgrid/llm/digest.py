@@ -32,26 +32,26 @@ def _cluster(q: Column, delta: int) -> Column:
 def build_digests(values: DataFrame, keys: list[str], value: str, part: str, delta: int = DELTA) -> DataFrame:
     """A digest of each ``keys`` and ``part``: rows of ``mean``, ``weight``, ``lo``, ``hi``, one for each centroid.
 
-    ``value`` must be finite and not null. Groups of up to about ``delta / 3`` values keep most values as they are.
+    ``value`` must be finite and not null. Other columns are not read; ``keys`` must not have the names of the result. Groups of up to about ``delta / 3`` values keep most values as they are.
     """
     by = [*keys, part]
     w = Window.partitionBy(*by)
-    ranked = values.select(*by, F.col(value).alias("x")).withColumn("rank", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count(F.lit(1)).over(w))
-    clustered = ranked.withColumn("k", _cluster((F.col("rank") - 0.5) / F.col("n"), delta))
-    digest = clustered.groupBy(*by, "k").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("weight"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return digest.drop("k")
+    ranked = values.select(*by, F.col(value).alias("__x")).withColumn("__rank", F.row_number().over(w.orderBy("__x"))).withColumn("__n", F.count(F.lit(1)).over(w))
+    clustered = ranked.withColumn("__k", _cluster((F.col("__rank") - 0.5) / F.col("__n"), delta))
+    digest = clustered.groupBy(*by, "__k").agg(F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("weight"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    return digest.drop("__k")
 
 
 def merge_digests(digests: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
     """One digest for each ``keys`` of any number of digests (of partitions, files, days), by clustering centroids again."""
     w = Window.partitionBy(*keys)
     upto = F.sum("weight").over(w.orderBy("mean", "lo", "hi", "weight").rowsBetween(Window.unboundedPreceding, 0))
-    placed = digests.withColumn("q", (upto - F.col("weight") / 2) / F.sum("weight").over(w))
+    placed = digests.withColumn("__q", (upto - F.col("weight") / 2) / F.sum("weight").over(w))
     return (
-        placed.withColumn("k", _cluster(F.col("q"), delta))
-        .groupBy(*keys, "k")
+        placed.withColumn("__k", _cluster(F.col("__q"), delta))
+        .groupBy(*keys, "__k")
         .agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .drop("k")
+        .drop("__k")
     )
 
 
@@ -97,12 +97,12 @@ def certified(values: DataFrame, estimates: DataFrame, keys: list[str], value: s
 
     Counts the values below and up to each estimate; an estimate equal to repeated values is right for all their ranks.
     """
-    joined = join_groups(values.select(*keys, F.col(value).alias("x")), estimates, keys, heavy)
+    joined = join_groups(values.select(*keys, F.col(value).alias("__x")), estimates, keys, heavy)
     counts = []
     for j in range(len(ps)):
-        counts += [F.count_if(F.col("x") < F.col(f"p{j}")).alias(f"b{j}"), F.count_if(F.col("x") <= F.col(f"p{j}")).alias(f"u{j}")]
+        counts += [F.count_if(F.col("__x") < F.col(f"p{j}")).alias(f"__b{j}"), F.count_if(F.col("__x") <= F.col(f"p{j}")).alias(f"__u{j}")]
     counted = joined.groupBy(*keys, "n", *[f"p{j}" for j in range(len(ps))]).agg(*counts)
     # the rank of a percentile is that of interpolation, n - 1 steps from 0 to 1: one value up or down is no error
-    miss = [F.expr(f"greatest(0.0D, (b{j} - 1 - {float(p)!r}D * (n - 1)) / n, ({float(p)!r}D * (n - 1) - u{j}) / n)") for j, p in enumerate(ps)]
+    miss = [F.expr(f"greatest(0.0D, (__b{j} - 1 - {float(p)!r}D * (n - 1)) / n, ({float(p)!r}D * (n - 1) - __u{j}) / n)") for j, p in enumerate(ps)]
     error = F.greatest(*miss) if len(miss) > 1 else miss[0]
     return counted.select(*keys, "n", *[f"p{j}" for j in range(len(ps))], error.alias("rank_error"))
