@@ -89,13 +89,13 @@ _MEAN = ", ".join(f"coalesce(avg({c}::DECIMAL(24,8)), 0.0) AS avg_{c}" for c in
     f"""WITH {_FOLD}, f AS (SELECT file_id, speaker_id, coalesce(made, 0) AS made, coalesce(received, 0) AS received FROM os FULL JOIN mr USING (file_id, speaker_id)),
  a AS (SELECT file_id, speaker_id, sum(e - s)::BIGINT AS duration_ms, sum({_WORDS.replace("coalesce(words::BIGINT, ", "(")})::BIGINT AS word_count, {_MEAN} FROM seg GROUP BY ALL), n AS {_NAME}
 SELECT file_id, speaker_id, coalesce(speaker_name, speaker_id) AS speaker_name, coalesce(duration_ms, 0) AS duration_ms, coalesce(word_count, 0) AS word_count,
- round(coalesce(avg_valence, 0.0), 6) AS avg_valence, round(coalesce(avg_arousal, 0.0), 6) AS avg_arousal, round(coalesce(avg_dominance, 0.0), 6) AS avg_dominance,
+ round(coalesce(avg_valence, 0.0), 9) AS avg_valence, round(coalesce(avg_arousal, 0.0), 9) AS avg_arousal, round(coalesce(avg_dominance, 0.0), 9) AS avg_dominance,
  coalesce(made, 0) AS interruptions_made, coalesce(received, 0) AS interruptions_received
 FROM a LEFT JOIN n USING (file_id, speaker_id) FULL JOIN f USING (file_id, speaker_id)"""
 )
 def legacy_speaker_profile(spark: SparkSession, sf: str) -> DataFrame:
     df = S.profile(segments(spark, sf, ["speaker_name", "text", "valence", "arousal", "dominance"]), _fold(spark, sf))
-    return rounded(df, "avg_valence", "avg_arousal", "avg_dominance")
+    return rounded(df, "avg_valence", "avg_arousal", "avg_dominance", digits=9)
 
 
 @R.add(
