@@ -115,11 +115,11 @@ def sed_top3_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     f"""WITH {ATTR}, g AS (SELECT file_id, idx, sum(overlap)::BIGINT AS o, sum(weight)::DOUBLE AS w FROM att GROUP BY ALL)
-SELECT file_id, idx, round(greatest(-5.0, least(35.0, 35.0 - 35.0 * least(1.0, 0.5 * least(1.0, o / (e - s)::DOUBLE) + 0.5 * least(1.0, w / (e - s)::DOUBLE)))), 12) AS snr_db FROM g JOIN seg USING (file_id, idx)"""
+SELECT file_id, idx, greatest(-5.0::DOUBLE, least(35.0::DOUBLE, 35.0::DOUBLE - 35.0::DOUBLE * least(1.0::DOUBLE, 0.5::DOUBLE * least(1.0::DOUBLE, o / (e - s)::DOUBLE) + 0.5::DOUBLE * least(1.0::DOUBLE, w / (e - s)::DOUBLE)))) AS snr_db FROM g JOIN seg USING (file_id, idx)"""
 )
 def sed_snr(spark: SparkSession, sf: str) -> DataFrame:
     rows = segments(spark, sf, [])
-    return rounded(D.snr_from_events(D.attributed(rows, events(spark, sf)), rows), "snr_db", digits=12)
+    return D.snr_from_events(D.attributed(rows, events(spark, sf)), rows)
 
 
 @R.add(
