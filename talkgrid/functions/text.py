@@ -113,8 +113,8 @@ def fine_clock(ms: Column) -> Column:
 
 
 def signed(value: Column) -> Column:
-    """Two decimals with sign, or n/a for null and NaN."""
-    return F.when(value.isNull() | F.isnan(value), F.lit("n/a")).otherwise(F.format_string("%+.2f", value))
+    """Two decimals with sign (halves away from zero), or n/a for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value), F.lit("n/a")).otherwise(F.format_string("%+.2f", F.round(value, 2)))
 
 
 def display_name(name: Column, ident: Column) -> Column:

@@ -44,3 +44,17 @@ def windows(df: DataFrame, width: int, hop: int | None = None, least: int = 1, k
     cut = df.withColumn("k", F.explode(F.expr(f"sequence(0L, {count})"))).withColumn("ws", F.expr(f"s + k * {hop}L"))
     cut = cut.withColumn("we", F.expr(f"least(ws + {width}L, e)")).filter(f"we - ws >= {least}L")
     return cut if keep_tail else cut.filter(f"k = 0 OR we - ws = {width}L")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """For each left row the right row of the same ``keys`` nearest in time, if within ``tolerance``: ``keys``, ``idx``, ``other``, ``apart``.
+
+    Both sides have ``keys``, ``idx`` and ``s``. Of equally near rows the earlier counts, then the lower ``idx``. Right
+    rows are put into their time bucket and its neighbours, and only the best of a left row's candidates is kept
+    before anything is shuffled again.
+    """
+    width = float(max(1, tolerance))
+    near = right.filter("s IS NOT NULL").select(*keys, F.col("idx").alias("other"), F.col("s").alias("t"), F.explode(F.expr(f"sequence(floor(s / {width}D) - 1, floor(s / {width}D) + 1)")).alias("bucket"))
+    probes = left.filter("s IS NOT NULL").select(*keys, "idx", "s", F.expr(f"floor(s / {width}D)").alias("bucket"))
+    pairs = probes.join(near, [*keys, "bucket"]).withColumn("apart", F.abs(F.col("s") - F.col("t"))).filter(F.col("apart") <= tolerance)
+    return pairs.groupBy(*keys, "idx").agg(F.min(F.struct("apart", "t", "other")).alias("b")).select(*keys, "idx", F.col("b.other").alias("other"), F.col("b.apart").alias("apart"))

@@ -124,3 +124,37 @@ def absorb_short(segments: DataFrame, least: int, gap: int) -> DataFrame:
 
     rows = segments.select("file_id", "idx", "speaker_id", "s", "e")
     return fold_groups(rows, ["file_id"], ["s", "idx"], start, step, end, "file_id string, idx bigint, speaker_id string, s bigint, e bigint")
+
+
+def active_speakers(windows: DataFrame) -> DataFrame:
+    """Who speaks from when to when, by a sweep over windows of speakers (``file_id``, ``s``, ``e``, ``speaker_id``).
+
+    Between two borders the speaker with most open windows speaks (of equal ones the first by name); slices of the same
+    speaker that touch are one. A speaker stays open until his last window ends. The state is the open windows only.
+    """
+    from pyspark.sql import functions as F
+
+    borders = windows.filter("e > s").select("file_id", "speaker_id", F.inline(F.expr("array(named_struct('t', s, 'd', 1), named_struct('t', e, 'd', -1))")))
+
+    def start() -> dict:
+        return {"open": {}, "t": None, "last": None}
+
+    def step(state: dict, row: Row) -> list[Row]:
+        out, open_now = [], state["open"]
+        if open_now and row["t"] > state["t"]:
+            who = min(open_now, key=lambda k: (-open_now[k], k))
+            last = state["last"]
+            if last and last["speaker_id"] == who and last["e"] == state["t"]:
+                last["e"] = row["t"]
+            else:
+                if last:
+                    out.append(last)
+                state["last"] = {"speaker_id": who, "s": state["t"], "e": row["t"]}
+        state["t"] = row["t"]
+        n = open_now.get(row["speaker_id"], 0) + row["d"]
+        open_now[row["speaker_id"]] = n
+        if n <= 0:
+            open_now.pop(row["speaker_id"])
+        return out
+
+    return fold_groups(borders, ["file_id"], ["t", "d", "speaker_id"], start, step, lambda state: [state["last"]] if state["last"] else [], "file_id string, speaker_id string, s bigint, e bigint")

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrid.storage import Workspace
+
 #: Added to norms, so that zero vectors have no infinite similarity.
 TINY = 1e-9
 #: Names of the registry that are compared at once, and vectors that are clustered at once.
@@ -136,36 +138,82 @@ def agglomerate(x: np.ndarray, weights: np.ndarray, threshold: float, k: int | N
 def cluster(df: DataFrame, keys: list[str], ident: str, vector: str, threshold: float = 0.25) -> DataFrame:
     """Clusters of the vectors of each group: ``keys``, ``ident``, ``cluster``, numbered by the first ``ident``.
 
-    Groups of up to ``CLUSTERED_AT_ONCE`` vectors are clustered at once. Larger ones are dealt to parts by a hash, parts
-    are clustered, and the weighted centroids of their clusters are clustered again: so no task holds a group, and a
-    vector may only differ in its cluster where clusters nearly touch.
+    Groups of up to ``CLUSTERED_AT_ONCE`` vectors are clustered at once. Larger ones are dealt to parts by a hash; parts
+    are clustered, and then the weighted centroids of their clusters in the same way, level by level, until a group is one part. So
+    no task holds a large group; a vector may only differ in its cluster where clusters nearly touch. If a level joins
+    nothing any more, what is left are the clusters.
     """
+    space = Workspace(df.sparkSession)
     types = dict(df.dtypes)
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, names).withColumn("part", F.expr(f"pmod(xxhash64(id), ceil(n / {float(CLUSTERED_AT_ONCE)}D))")).drop("n")
     key = ", ".join(f"{a} {types[k]}" for k, a in zip(keys, names))
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    nodes = space.write(rows.select(*names, F.col("id").cast("string").alias("node"), "v", F.lit(1.0).alias("w")), "nodes0")
+    link = rows.select(*names, "id", F.col("id").cast("string").alias("node"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("node")
         x = np.stack([np.asarray(v) for v in pdf["v"]])
-        return pdf[[*names, "part", "id", "v"]].assign(local=agglomerate(x, np.ones(len(x)), threshold))
-
-    local = rows.groupBy(*names, "part").applyInPandas(inside, f"{key}, part bigint, id {types[ident]}, v array<double>, local bigint")
-    cells = local.select(*names, "part", "local", F.posexplode("v").alias("pos", "x")).groupBy(*names, "part", "local", "pos").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("w"))
-    middles = cells.groupBy(*names, "part", "local").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"), F.max("w").alias("w"))
+        joint = agglomerate(x, pdf["w"].to_numpy(), threshold)
+        return pdf[[*names, "node", "v", "w"]].assign(up=[f"{part}.{j}" for part, j in zip(pdf["part"], joint)])
+
+    level, left = 0, nodes.count()
+    while left:
+        sizes = nodes.groupBy(*names).agg(F.expr(f"CAST(ceil(count(*) / {float(CLUSTERED_AT_ONCE)}D) AS bigint)").alias("parts"))
+        dealt = nodes.join(sizes, names).withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
+        joined = space.write(dealt.groupBy(*names, "part").applyInPandas(inside, f"{key}, node string, v array<double>, w double, up string"), f"joined{level}")
+        link = space.write(link.join(joined.select(*names, "node", "up"), [*names, "node"]).select(*names, "id", F.col("up").alias("node")), f"link{level}")
+        cells = joined.select(*names, "up", "w", F.posexplode("v").alias("pos", "x")).groupBy(*names, "up", "pos").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"), F.sum("w").alias("w"))
+        middles = cells.groupBy(*names, "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"), F.max("w").alias("w"))
+        level += 1
+        nodes = space.write(middles.withColumnRenamed("up", "node"), f"nodes{level}")
+        before, left = left, nodes.count()
+        if sizes.agg(F.max("parts")).first()[0] == 1 or left == before:
+            break
+    firsts = link.groupBy(*names, "node").agg(F.min("id").alias("first"))
+    numbers = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy(*names).orderBy("first")))
+    out = link.join(numbers, [*names, "node"])
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, names)], F.col("id").alias(ident), "cluster")
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "local"])
-        x = np.stack([np.asarray(v) for v in pdf["v"]])
-        return pdf[[*names, "part", "local"]].assign(joint=agglomerate(x, pdf["w"].to_numpy(), threshold))
 
-    joint = middles.groupBy(*names).applyInPandas(across, f"{key}, part bigint, local bigint, joint bigint")
-    placed = local.drop("v").join(joint, [*names, "part", "local"])
-    firsts = placed.groupBy(*names, "joint").agg(F.min("id").alias("first"))
-    from pyspark.sql import Window
+def merge_similar(centroids: DataFrame, keys: list[str], label: str, threshold: float, least: int = 1) -> DataFrame:
+    """Labels of a group whose centroids are within ``threshold``, joined nearest first: ``keys``, ``label``, ``merged_into``.
 
-    numbers = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy(*names).orderBy("first")))
-    out = placed.join(numbers, [*names, "joint"])
-    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, names)], F.col("id").alias(ident), "cluster")
+    ``centroids`` has ``label``, ``centroid`` and ``members``. The label that sorts first stays; at least ``least`` labels are left. A group is the labels of a
+    recording, few and small, so it is one task's.
+    """
+    types = dict(centroids.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(label).reset_index(drop=True)
+        x = {i: np.asarray(v) * w for i, (v, w) in enumerate(zip(pdf["centroid"], pdf["members"]))}
+        into = list(range(len(pdf)))
+        while len(x) > max(1, least):
+            at = sorted(x)
+            unit_x = np.stack([x[i] / (np.linalg.norm(x[i]) + TINY) for i in at])
+            d = 1.0 - unit_x @ unit_x.T
+            d[np.tril_indices(len(at))] = np.inf
+            i, j = divmod(int(d.argmin()), len(at))
+            if not d[i, j] < threshold:
+                break
+            x[at[i]] = x[at[i]] + x.pop(at[j])
+            into = [at[i] if k == at[j] else k for k in into]
+        return pdf[[*keys, label]].assign(merged_into=[pdf[label][k] for k in into])
+
+    spec = ", ".join(f"`{c}` {types[c]}" for c in [*keys, label]) + f", merged_into {types[label]}"
+    return centroids.groupBy(*keys).applyInPandas(run, spec)
+
+
+def silhouette(df: DataFrame, keys: list[str], label: str, vector: str) -> DataFrame:
+    """How well labels fit, by cosine distance to centroids, -1 to 1: mean over vectors of (b - a) / max(a, b).
+
+    ``a`` is the distance to the own label's centroid, ``b`` to the nearest other; this needs no pairs of vectors. Null
+    where a group has one label. Centroids of a group travel as one row, as there are few labels.
+    """
+    middles = centroids(df, [*keys, label], vector)
+    packed = middles.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c"))).alias("all"))
+    rows = df.filter(F.col(vector).isNotNull()).join(packed, keys)
+    far = F.transform("all", lambda m: F.struct(m["l"].alias("l"), (1 - cosine(F.col(vector), m["c"])).alias("d")))
+    own = F.array_min(F.transform(F.filter(far, lambda m: m["l"] == F.col(label)), lambda m: m["d"]))
+    other = F.array_min(F.transform(F.filter(far, lambda m: m["l"] != F.col(label)), lambda m: m["d"]))
+    return rows.select(*keys, own.alias("a"), other.alias("b")).groupBy(*keys).agg(F.avg(F.expr("CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) WHEN b IS NOT NULL THEN 0.0D END")).alias("silhouette"))

@@ -177,3 +177,54 @@ def health_combine(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("recordings"), mean("snr_db"), mean("silence_ratio"), F.coalesce(F.bool_or("clipping_detected"), F.lit(False)).alias("any_clipping"), F.max(known("floor_clipping_ratio")).alias("floor_clipping_ratio")
     )
+
+
+@R.add(
+    f"""WITH {SEG}, p AS (SELECT a.file_id, a.idx, b.idx AS other, abs(a.s - b.s) AS apart, b.s AS t FROM seg a JOIN seg b ON a.file_id = b.file_id AND a.idx <> b.idx AND abs(a.s - b.s) <= 750 AND a.idx % 2 = 0 AND b.idx % 2 = 1)
+SELECT file_id, idx, other, apart FROM p QUALIFY row_number() OVER (PARTITION BY file_id, idx ORDER BY apart, t, other) = 1"""
+)
+def nearest_audio_affect(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one pass over a recording matched with those of another by start; even and odd segments stand for the passes."""
+    from talkgrid.operators.intervals import nearest_within
+
+    rows = segments(spark, sf, [])
+    return nearest_within(rows.filter("idx % 2 = 0"), rows.filter("idx % 2 = 1"), ["file_id"], 750)
+
+
+@R.add()
+def merge_similar_speakers(spark: SparkSession, sf: str) -> DataFrame:
+    middles = V.centroids(_vectors(spark, sf), ["label"], "embedding").withColumn("file_id", F.lit("all"))
+    return V.merge_similar(middles, ["file_id"], "label", 0.6)
+
+
+@R.add()
+def speaker_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    return V.silhouette(_vectors(spark, sf).withColumn("file_id", F.lit("all")), ["file_id"], "label", "embedding")
+
+
+@R.add()
+def active_speaker_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.active_speakers(segments(spark, sf, []))
+
+
+@R.add(
+    f"""WITH {SEG}, t AS (SELECT *, round_even(s / 1000.0::DOUBLE, 0)::BIGINT AS a, round_even(e / 1000.0::DOUBLE, 0)::BIGINT AS b FROM seg WHERE s >= 0)
+SELECT file_id, idx, s, concat('[', printf('%02d:%02d:%02d', a // 3600, a // 60 % 60, a % 60), ' - ', printf('%02d:%02d:%02d', b // 3600, b // 60 % 60, b % 60), '] ', coalesce(nullif(speaker_name, ''), speaker_id), chr(10),
+  '  Text: ', coalesce(nullif(trim(text), ''), '(no speech recognized)'), chr(10), '  Affect: emotion ', coalesce(nullif(emotion_top, ''), 'unknown'), '; valence ', coalesce(printf('%+.2f', round(valence, 2) + 0.0), 'n/a'), ', arousal ', coalesce(printf('%+.2f', round(arousal, 2) + 0.0), 'n/a'),
+  ', dominance ', coalesce(printf('%+.2f', round(dominance, 2) + 0.0), 'n/a'), chr(10), '  Intent: ', coalesce(nullif(intent_top, ''), 'unknown'), chr(10), '  VAD: ', CASE WHEN vad_unstable THEN 'unstable' ELSE 'stable' END, ' | Noise tag: ', coalesce(nullif(noise_tag, ''), 'n/a')) AS block FROM t"""
+)
+def readable_transcript(spark: SparkSession, sf: str) -> DataFrame:
+    return T.readable(segments(spark, sf, ["speaker_name", "text", "emotion_top", "valence", "arousal", "dominance", "intent_top", "vad_unstable", "noise_tag"]).filter("s >= 0"))
+
+
+@R.add(
+    """WITH x AS (SELECT seg_id, ingested_at, sha256(concat_ws('|', coalesce(file_id, ''), coalesce(text, ''))) AS d FROM segments WHERE seg_id IS NOT NULL),
+ o AS (SELECT seg_id, d FROM x QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at) = 1), n AS (SELECT seg_id, d FROM x QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1)
+SELECT n.seg_id FROM n LEFT JOIN o ON n.seg_id = o.seg_id AND n.d = o.d WHERE o.seg_id IS NULL"""
+)
+def resume_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of which the latest delivery differs from the first in file or text, which a resumed run computes again."""
+    rows = spark.read.parquet(f"{sf}/segments.parquet").filter("seg_id IS NOT NULL")
+    new = latest_rows(rows, "seg_id", "ingested_at", ["file_id", "text"])
+    old = rows.groupBy("seg_id").agg(F.min_by(F.struct("file_id", "text"), "ingested_at").alias("r")).select("seg_id", "r.*")
+    return T.changed_rows(old, new, "seg_id", ["file_id", "text"]).select("seg_id")

@@ -45,6 +45,21 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def register_views(spark: SparkSession, sf: str) -> list[str]:
+    """All tables of a folder as views of their names, and the clean ones as ``clean_segments`` and ``clean_events``, for ``spark.sql``."""
+    names = []
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sf)
+    for status in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder):
+        file = status.getPath().getName()
+        if file.endswith(".parquet"):
+            spark.read.parquet(f"{sf}/{file}").createOrReplaceTempView(name := file.removesuffix(".parquet"))
+            names.append(name)
+    segments(spark, sf).createOrReplaceTempView("clean_segments")
+    events(spark, sf).createOrReplaceTempView("clean_events")
+    return sorted([*names, "clean_segments", "clean_events"])
+
+
 def _sql_segments() -> str:
     values = ", ".join([f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in MEASURES] + PLAIN)
     return f"""seg AS (SELECT idx, s, e, * EXCLUDE (idx, s, e) FROM (

@@ -185,3 +185,45 @@ def test_pipeline(spark, tmp_path):
 
     names = pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "speakers_summary")).count() > 0 and "transcript" in names
+
+
+def test_clusters_of_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CLUSTERED_AT_ONCE", 20)
+    rnd = np.random.default_rng(1)
+    data = [("g" if i < 300 else "h", int(i), (np.eye(6)[i % 4] * 5 + rnd.normal(0, 0.05, 6)).tolist()) for i in range(320)]
+    df = spark.createDataFrame(data, "g string, id bigint, v array<double>")
+    found = {}
+    for r in vectors.cluster(df, ["g"], "id", "v", 0.3).collect():
+        found.setdefault((r.g, r.cluster), set()).add(r.id % 4)
+    assert sorted(k for k in found) == [(g, c) for g in "gh" for c in (1, 2, 3, 4)] and all(len(x) == 1 for x in found.values())
+    assert vectors.cluster(df.limit(0), ["g"], "id", "v").count() == 0
+
+
+def test_merging_and_fit_of_labels(spark):
+    df = spark.createDataFrame([("f", "a", [1.0, 0.0]), ("f", "b", [0.99, 0.1]), ("f", "c", [0.0, 1.0]), ("g", "a", [1.0, 0.0])], "f string, l string, v array<double>")
+    merged = {(r.f, r.l): r.merged_into for r in vectors.merge_similar(vectors.centroids(df, ["f", "l"], "v"), ["f"], "l", 0.1).collect()}
+    assert merged == {("f", "a"): "a", ("f", "b"): "a", ("f", "c"): "c", ("g", "a"): "a"}
+    fit = {r.f: r.silhouette for r in vectors.silhouette(df.filter("l <> 'b'"), ["f"], "l", "v").collect()}
+    assert fit["f"] == pytest.approx(1.0) and fit["g"] is None
+
+
+def test_active_speakers(spark):
+    df = seg(spark, [("A", 0, 1000), ("B", 500, 2000), ("B", 600, 700), ("A", 3000, 3000), ("C", 4000, 5000)])
+    got = sorted((r.s, r.e, r.speaker_id) for r in streams.active_speakers(df).collect())
+    assert got == [(0, 600, "A"), (600, 700, "B"), (700, 1000, "A"), (1000, 2000, "B"), (4000, 5000, "C")]
+
+
+def test_nearest_within(spark):
+    from talkgrid.operators.intervals import nearest_within
+
+    left = spark.createDataFrame([("f", 1, 100), ("f", 2, 5000), ("g", 3, 0), ("f", 4, None)], "k string, idx bigint, s bigint")
+    right = spark.createDataFrame([("f", 10, 90), ("f", 11, 110), ("f", 12, 5751), ("g", 13, -750)], "k string, idx bigint, s bigint")
+    assert sorted((r.idx, r.other, r.apart) for r in nearest_within(left, right, ["k"], 750).collect()) == [(1, 10, 10), (3, 13, 750)]
+
+
+def test_views(spark):
+    from talkgrid.sources import tables
+
+    names = tables.register_views(spark, "/root/testdata/sf0.001")
+    assert {"segments", "documents", "clean_segments", "clean_events"} <= set(names)
+    assert spark.sql("SELECT count(*) FROM clean_segments WHERE s > e OR trim(speaker_id) = ''").first()[0] == 0
