@@ -210,8 +210,8 @@ def active_speaker_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(
     f"""WITH {SEG}, t AS (SELECT *, round_even(s / 1000.0::DOUBLE, 0)::BIGINT AS a, round_even(e / 1000.0::DOUBLE, 0)::BIGINT AS b FROM seg WHERE s >= 0)
 SELECT file_id, idx, s, concat('[', printf('%02d:%02d:%02d', a // 3600, a // 60 % 60, a % 60), ' - ', printf('%02d:%02d:%02d', b // 3600, b // 60 % 60, b % 60), '] ', coalesce(nullif(speaker_name, ''), speaker_id), chr(10),
-  '  Text: ', coalesce(nullif(trim(text), ''), '(no speech recognized)'), chr(10), '  Affect: emotion ', coalesce(nullif(emotion_top, ''), 'unknown'), '; valence ', coalesce(printf('%+.2f', round(valence, 2) + 0.0), 'n/a'), ', arousal ', coalesce(printf('%+.2f', round(arousal, 2) + 0.0), 'n/a'),
-  ', dominance ', coalesce(printf('%+.2f', round(dominance, 2) + 0.0), 'n/a'), chr(10), '  Intent: ', coalesce(nullif(intent_top, ''), 'unknown'), chr(10), '  VAD: ', CASE WHEN vad_unstable THEN 'unstable' ELSE 'stable' END, ' | Noise tag: ', coalesce(nullif(noise_tag, ''), 'n/a')) AS block FROM t"""
+  '  Text: ', coalesce(nullif(trim(text), ''), '(no speech recognized)'), chr(10), '  Affect: emotion ', coalesce(nullif(emotion_top, ''), 'unknown'), '; valence ', coalesce(printf('%+.2f', round(valence::DECIMAL(18,6), 2)::DOUBLE + 0.0), 'n/a'), ', arousal ', coalesce(printf('%+.2f', round(arousal::DECIMAL(18,6), 2)::DOUBLE + 0.0), 'n/a'),
+  ', dominance ', coalesce(printf('%+.2f', round(dominance::DECIMAL(18,6), 2)::DOUBLE + 0.0), 'n/a'), chr(10), '  Intent: ', coalesce(nullif(intent_top, ''), 'unknown'), chr(10), '  VAD: ', CASE WHEN vad_unstable THEN 'unstable' ELSE 'stable' END, ' | Noise tag: ', coalesce(nullif(noise_tag, ''), 'n/a')) AS block FROM t"""
 )
 def readable_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return T.readable(segments(spark, sf, ["speaker_name", "text", "emotion_top", "valence", "arousal", "dominance", "intent_top", "vad_unstable", "noise_tag"]).filter("s >= 0"))
