@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from talkgrid.storage import shared_dir
+
 #: Folder of the vocabulary files; on a cluster, one that each executor has.
 FOLDER = "/opt/tokenizers"
 #: The pattern by which byte-level tokenizers cut a text into words. White space is Unicode's White_Space,
@@ -28,6 +31,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words of which a worker remembers the ids, and bytes of new words that one recursive query takes at once.
 REMEMBERED, BYTES_AT_ONCE = 300_000, 1 << 20
+#: What a worker's DuckDB may use.
+MEMORY = "500MB"
 
 _ENCODE = """
 WITH RECURSIVE encoded(w, toks) USING KEY (w) AS (
@@ -63,9 +68,13 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 class Encoder:
-    """The vocabulary and a DuckDB connection of one Python worker, with the words encoded so far."""
+    """The vocabulary and a DuckDB connection of one Python worker, with the words encoded so far.
+
+    Only single words of millions of signs need more memory than ``MEMORY``. The rest of their rows then goes to files
+    in ``spill``, a folder that is deleted with the connection; without one such a word is an error.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spill: str = ""):
         import duckdb
         import regex
 
@@ -77,7 +86,7 @@ class Encoder:
         for s, b in sign.items():
             self.first[b] = vocab[s]
         self.findall = regex.compile(PATTERN).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{spill}/duckdb-{uuid.uuid4().hex}" if spill else ""})
         table = pa.table({
             "tok": pa.array([vocab[a] for a, _ in merges], pa.int32()), "tok2": pa.array([vocab[b] for _, b in merges], pa.int32()),
             "rank": pa.array(range(len(merges)), pa.int32()), "merged": pa.array([vocab[a + b] for a, b in merges], pa.int32()),
@@ -137,13 +146,21 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, spill: str) -> Encoder:
+    return Encoder(path, spill)
+
+
+def _spill_folder(spark: SparkSession) -> str:
+    """The shared folder as a path, if it is mounted as one; else ""."""
+    folder = shared_dir(spark)
+    return folder.removeprefix("file:").replace("//", "/", 1) if folder.startswith("file:") else folder if folder.startswith("/") else ""
 
 
 def _encoded(df: DataFrame, text: str, keep: list[str], out: T.StructField, path: str, counts_only: bool) -> DataFrame:
+    spill = _spill_folder(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = encoder(path)
+        worker = encoder(path, spill)
         for batch in batches:
             ids, counts = worker.encode(batch.column(batch.num_columns - 1).to_pylist(), counts_only)
             if counts_only:
@@ -177,10 +194,10 @@ def decode_ids(df: DataFrame, ids: str, keep: list[str], out: str = "text", toke
 
     Unknown and null ids are left out; bytes that aren't UTF-8 become U+FFFD.
     """
-    path = f"{folder}/{tokenizer}.json"
+    path, spill = f"{folder}/{tokenizer}.json", _spill_folder(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = encoder(path)
+        worker = encoder(path, spill)
         worker.db.execute("CREATE TABLE IF NOT EXISTS vocabulary(id INTEGER, bytes VARCHAR)")
         if not worker.db.execute("SELECT count(*) FROM vocabulary").fetchall()[0][0]:
             worker.db.register("given", pa.table({"id": pa.array(worker.hex.keys(), pa.int32()), "bytes": pa.array(worker.hex.values(), pa.string())}))

@@ -32,6 +32,11 @@ def test_ids_are_those_of_the_library(spark):
     assert decode_ids(spark.createDataFrame([(1, None), (2, [99999, None, 64])], "id int, ids array<int>"), "ids", ["id"]).orderBy("id").collect()[1].text == "a"
 
 
+def test_a_word_of_millions_of_signs(spark):
+    df = spark.createDataFrame([(1, "a" * 3_000_000)], "id int, text string")
+    assert count_tokens(df, "text", ["id"]).first().n_tokens == 750_000
+
+
 def test_mixing(spark):
     data = [(i, s, n) for i, (s, n) in enumerate([("big", 100 + i % 7) for i in range(3000)] + [("small", 50)] * 20 + [("other", 9)] * 5 + [(None, 4), ("big", None), ("big", 0)])]
     df = spark.createDataFrame(data, "doc bigint, source string, size bigint").withColumn("rank", F.lit(1))
