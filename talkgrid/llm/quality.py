@@ -31,6 +31,8 @@ LETTERS = len(_ALPHABET) + 1
 
 #: Limits of the rules. A prose document has at least this share of its characters in sentences,
 LEAST_PROSE = 0.5
+#: or, where it has ``FRAME`` times as many items and rows as sentences (a list in a frame of a sentence or two), this;
+FRAMED_PROSE, FRAME = 0.75, 3
 #: this share of letters among its signs, words of this mean length, and pairs of this mean log-probability;
 LEAST_LETTERS, WORD_LENGTH, LEAST_PAIRS = 0.6, (2.2, 20.0), -2.87
 #: at most this share of common words (more is function words in no order), and of the most frequent phrase of up to
@@ -124,16 +126,23 @@ def _is_row(line: str) -> bool:
 def _joined(lines: list[str]) -> list[str]:
     """The lines of a wrapped paragraph as one; other lines as they are.
 
-    Lines are wrapped if the first word of the next one wouldn't have fitted, for most of them.
+    Lines are wrapped if the first word of the next one wouldn't have fitted, for most of those that don't end a
+    sentence (which may end a paragraph too); or if most have the same number of words, four or more.
     """
     if len(lines) < 3:
         return lines
     lengths = sorted(map(len, lines))
-    width, n = lengths[int(0.85 * (len(lines) - 1))], len(lines) - 1
-    if width < 24 or sum(x[-1] in ".;,:!?)" for x in lines) > 0.6 * len(lines) or sum(map(_words, lines)) < 4 * len(lines):
+    width = lengths[int(0.7 * (len(lines) - 1))]
+    words = [len(x.split()) for x in lines]
+    if sum(x[-1] in ".;,:!?)" for x in lines) > 0.6 * len(lines) or sum(words) < 4 * len(lines):
         return lines
-    full = sum(len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(lines, lines[1:]))
-    return [" ".join(lines)] if full >= 0.75 * n else lines
+    if words.count(usual := max(set(words), key=words.count)) >= 0.75 * len(lines) and usual >= 4:
+        return [" ".join(lines)]
+    if width < 24:
+        return lines
+    open_ended = [(a, b) for a, b in zip(lines, lines[1:]) if a[-1] not in ".!?"]
+    full = sum(len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in open_ended)
+    return [" ".join(lines)] if len(open_ended) >= 0.4 * len(lines) and full >= 0.75 * len(open_ended) else lines
 
 
 def units(lines: list[str]) -> list[tuple[str, str]]:
@@ -148,9 +157,10 @@ def units(lines: list[str]) -> list[tuple[str, str]]:
         if n <= 5:
             kind = "list" if n else "signs"
         else:
-            clauses = len(_CLAUSES.findall(unit)) + (not ends)
+            clauses = max(1, len(_CLAUSES.findall(unit)) + (not ends))
             few = n <= 7 and not ends
-            kind = "list" if few or (clauses >= 4 and n / clauses < (3.6 if ends else 4.6)) else "prose"
+            short = n / clauses < 3.6 if ends else n / clauses < (4.6 if clauses >= 4 else 4.2)
+            kind = "list" if few or (clauses >= (4 if ends else 3) and short) else "prose"
         out.append((kind, unit))
 
     def flush() -> None:
@@ -256,11 +266,13 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
     split = text.splitlines()
     lines = [x for x in split if x and not x.isspace()]
     kinds: Counter = Counter()
-    sentences = []
+    sentences, items = [], 0
     for kind, unit in units(split):
         kinds[kind] += len(unit)
         if kind == "prose":
             sentences.append(unit)
+        elif kind in ("list", "table"):
+            items += 1
     judged = sum(n for kind, n in kinds.items() if kind not in ("head", "mark")) or 1
     prose_share, list_share, table_share = kinds["prose"] / judged, kinds["list"] / judged, kinds["table"] / judged
     tokens = _TOKEN.findall(text.lower())
@@ -293,6 +305,7 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
         letter_share = 0.0
     is_prose = (
         prose_share >= LEAST_PROSE
+        and not (prose_share < FRAMED_PROSE and len(sentences) * FRAME <= items)
         and letter_share >= LEAST_LETTERS
         and (unspaced or WORD_LENGTH[0] <= length <= WORD_LENGTH[1])
         and not encoded
