@@ -66,9 +66,10 @@ def load_records(exports: DataFrame) -> DataFrame:
 
     ``cells`` holds (path, kind, value) of each key, with the raw kind of the value: number, string, boolean, object
     or array; null for the missing values null, "" and "NaN". Lines that aren't one JSON object have null ``cells``
-    and stay, as they show that the export exists. A line that was delivered more than once counts once.
+    and stay, as they show that the export exists. A line that was delivered more than once counts once. Lines without
+    ``export_id`` belong to no export and don't take part. Other columns are not read.
     """
-    lines = exports.select("export_id", "artefact", "station", "written_at", "payload").distinct()
+    lines = exports.filter("export_id IS NOT NULL").select("export_id", "artefact", "station", "written_at", "payload").distinct()
     return lines.select("export_id", "artefact", "station", "written_at", _values(json_object(F.col("payload"))).alias("cells"))
 
 

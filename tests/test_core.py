@@ -96,6 +96,19 @@ def test_drift_lines_that_are_no_record(spark):
     assert report(spark, lines(f'{{{KEY},"a":1}}') + lines(f'{{{KEY},"a":"x","a":2}}', export=2, at=2)) == []
 
 
+def test_drift_with_nulls(spark):
+    data = [(None, "segments", "st", 1, 1, f'{{{KEY},"z":1}}'), (1, None, None, None, None, f'{{{KEY},"a":1}}'), (2, None, None, 5, 1, f'{{{KEY},"b":1}}'), (3, "segments", "st", 1, 1, None)]
+    assert report(spark, data) == [(2, "b", "renamed")]
+
+
+def test_drift_needs_agreement_in_all_records(spark):
+    two = lambda f, a, b: [f'{{"file_id":"f","speaker_id":"s","start":{k},"{f}":{v}}}' for k, v in ((1, a), (2, b))]
+    assert report(spark, lines(*two("a", 1, 2)) + lines(*two("b", "1.0", 2), export=2, at=2)) == [(2, "b", "renamed")]
+    assert report(spark, lines(*two("a", 1, 2)) + lines(*two("b", 1, 3), export=2, at=2)) == [(2, "a", "removed"), (2, "b", "added")]
+    assert report(spark, lines(*two("a", 1, 2)) + lines(*two("b", 1, '"2"'), export=2, at=2)) == [(2, "a", "removed"), (2, "b", "added")]
+    assert report(spark, lines(*two("a", "null", '""')) + lines(*two("b", '"NaN"', "null"), export=2, at=2)) == [(2, "a", "removed"), (2, "b", "added")]
+
+
 def test_typed_projection(spark):
     data = lines('{"file_id":"f","start":"1.5","n":1,"note":"x"}', '{"n":"7"}', '{"n":"seven"}', '{"n":2,"file":{"a":1}}', "broken")
     df = spark.createDataFrame(data, "export_id bigint, artefact string, station string, written_at int, line_no int, payload string")
