@@ -167,7 +167,7 @@ def qc_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    """SELECT count(*) AS recordings, round(avg((CASE WHEN NOT isnan(snr_db) THEN snr_db END)::DECIMAL(18,6)), 6) AS snr_db, round(avg((CASE WHEN NOT isnan(silence_ratio) THEN silence_ratio END)::DECIMAL(18,6)), 6) AS silence_ratio,
+    """SELECT count(*) AS recordings, round(avg(try_cast(snr_db AS DECIMAL(18,6))), 6) AS snr_db, round(avg(try_cast(silence_ratio AS DECIMAL(18,6))), 6) AS silence_ratio,
  coalesce(bool_or(clipping_detected), false) AS any_clipping, max(CASE WHEN NOT isnan(floor_clipping_ratio) THEN floor_clipping_ratio END) AS floor_clipping_ratio FROM audio_health"""
 )
 def health_combine(spark: SparkSession, sf: str) -> DataFrame:
