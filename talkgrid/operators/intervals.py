@@ -58,3 +58,13 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], tolerance
     probes = left.filter("s IS NOT NULL").select(*keys, "idx", "s", F.expr(f"floor(s / {width}D)").alias("bucket"))
     pairs = probes.join(near, [*keys, "bucket"]).withColumn("apart", F.abs(F.col("s") - F.col("t"))).filter(F.col("apart") <= tolerance)
     return pairs.groupBy(*keys, "idx").agg(F.min(F.struct("apart", "t", "other")).alias("b")).select(*keys, "idx", F.col("b.other").alias("other"), F.col("b.apart").alias("apart"))
+
+
+def analysis_windows(df: DataFrame, width: int, hop: int) -> DataFrame:
+    """Windows of exactly ``width`` over each [s, e): one every ``hop`` that fits, and a last one that ends at ``e``.
+
+    An interval shorter than ``width`` has one window, which is cut at its end. Result: the columns of ``df``, ``ws``, ``we``.
+    """
+    fits = f"greatest(0L, (e - s - {width}L) div {hop}L)"
+    starts = F.expr(f"array_distinct(concat(transform(sequence(0L, {fits}), k -> s + k * {hop}L), array(greatest(s, e - {width}L))))")
+    return df.filter("e > s").withColumn("ws", F.explode(starts)).withColumn("we", F.expr(f"least(ws + {width}L, e)"))

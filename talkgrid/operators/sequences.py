@@ -129,3 +129,13 @@ def median_filter(frames: DataFrame, keys: list[str], k: int, block: int = 8192)
     padded = F.concat(F.array_repeat(F.get("__near", F.lit(0)), h - F.col("__before")), F.col("__near"), F.array_repeat(F.element_at("__near", -1), h - F.col("__after")))
     rows = rows.withColumn("__near", around).withColumn("__before", before.cast("int")).withColumn("__after", after.cast("int")).filter("__block = __home")
     return rows.withColumn("smooth", F.get(F.sort_array(padded), F.lit(h))).select(*frames.columns, "smooth")
+
+
+def first_seen_labels(df: DataFrame, keys: list[str], label: str, order: list[str], prefix: str = "Speaker_") -> DataFrame:
+    """The labels of each group, renamed ``prefix`` and a number from 1 by first appearance: ``keys``, ``label``, ``renamed``.
+
+    Labels are counted before the shuffle; only the distinct ones of a group are ordered. Null labels don't take part.
+    """
+    firsts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.min(F.struct(*order)).alias("__first"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("__first", label))
+    return firsts.select(*keys, label, F.concat(F.lit(prefix), number.cast("string")).alias("renamed"))

@@ -190,3 +190,17 @@ def p2_quantiles(df: DataFrame, keys: list[str], order: str, value: str, p: floa
             yield pd.DataFrame([(*key, state.value())], columns=[*keys, "estimate"])
 
     return rows.mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keys] + ["estimate double"]))
+
+
+def main_speakers(segments: DataFrame, most: int) -> DataFrame:
+    """The segments of the ``most`` speakers of each file who speak longest (of equal ones the first by id)."""
+    by = segments.groupBy(*KEYS).agg(F.sum(F.col("e") - F.col("s")).alias("speech"))
+    w = Window.partitionBy("file_id").orderBy(F.col("speech").desc(), "speaker_id")
+    kept = by.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(*KEYS)
+    return segments.join(kept, KEYS, "left_semi")
+
+
+def longest_segments(segments: DataFrame) -> DataFrame:
+    """The longest segment of each file, of equal ones the earliest: ``file_id``, ``idx``, ``speaker_id``, ``length``."""
+    best = segments.groupBy("file_id").agg(F.min(F.struct((F.col("s") - F.col("e")).alias("d"), "s", "idx", "speaker_id")).alias("b"))
+    return best.select("file_id", F.col("b.idx").alias("idx"), F.col("b.speaker_id").alias("speaker_id"), (-F.col("b.d")).alias("length"))

@@ -198,3 +198,14 @@ def decimate_windows(spark: SparkSession, sf: str) -> DataFrame:
     rows = with_position(segments(spark, sf, []), ["file_id"], ["s", "idx"])
     counts = rows.groupBy("file_id").agg((F.max("pos") + 1).alias("n"))
     return rows.join(counts, "file_id").filter("pos % greatest(1L, CAST(ceil(n / 50.0D) AS bigint)) = 0").select("file_id", "idx", "pos")
+
+
+@R.add(
+    f"""WITH {SEG}, w AS (SELECT file_id, idx, s, e, unnest(range(greatest(0, (e - s - 1000) // 500) + 1)) AS k FROM seg WHERE e > s),
+ a AS (SELECT file_id, idx, s + k * 500 AS ws, e FROM w UNION SELECT file_id, idx, greatest(s, e - 1000) AS ws, e FROM seg WHERE e > s)
+SELECT file_id, idx, ws, least(ws + 1000, e) AS we FROM a"""
+)
+def analysis_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from talkgrid.operators.intervals import analysis_windows as run
+
+    return run(segments(spark, sf, []), 1000, 500).select("file_id", "idx", "ws", "we")

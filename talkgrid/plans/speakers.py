@@ -157,3 +157,39 @@ def speaker_headlines(spark: SparkSession, sf: str) -> DataFrame:
     total = by.agg(F.sum("speech_ms").cast("double").alias("t")).scalar()
     top = by.orderBy(F.col("speech_ms").desc(), "speaker_id").limit(3)
     return top.select("speaker_id", "speech_ms", F.round(F.col("speech_ms") / total * 100, 6).alias("share_pct"))
+
+
+@R.add(
+    f"""WITH {SEG}, b AS (SELECT file_id, speaker_id, sum(e - s) AS d FROM seg GROUP BY ALL), k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY d DESC, speaker_id) <= 2)
+SELECT file_id, speaker_id, idx, s, e FROM seg SEMI JOIN k USING (file_id, speaker_id)"""
+)
+def max_speakers_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return S.main_speakers(segments(spark, sf, []), 2)
+
+
+@R.add(f"WITH {SEG} SELECT file_id, idx, speaker_id, e - s AS length FROM seg QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY e - s DESC, s, idx) = 1")
+def longest_segment(spark: SparkSession, sf: str) -> DataFrame:
+    return S.longest_segments(segments(spark, sf, []))
+
+
+@R.add(
+    f"""WITH {SEG}, f AS (SELECT file_id, speaker_id, s, idx FROM seg QUALIFY row_number() OVER (PARTITION BY file_id, speaker_id ORDER BY s, idx) = 1)
+SELECT file_id, speaker_id, 'Speaker_' || row_number() OVER (PARTITION BY file_id ORDER BY s, idx) AS renamed FROM f"""
+)
+def first_seen_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from talkgrid.operators.sequences import first_seen_labels as run
+
+    return run(segments(spark, sf, []), ["file_id"], "speaker_id", ["s", "idx"])
+
+
+@R.add(
+    f"""WITH {SEG}, c AS (SELECT (date_trunc('day', ingested_at))::DATE AS day, speaker_id, wpm FROM (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1) WHERE wpm > 0 AND NOT isnan(wpm) AND trim(speaker_id) <> '')
+SELECT day::VARCHAR AS day, count(*) AS n, count(DISTINCT speaker_id) AS speakers, max(wpm) AS fastest FROM c GROUP BY GROUPING SETS ((day), ())"""
+)
+def daily_speech(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments, speakers and the highest speed of each day of delivery, and of all (null)."""
+    from talkgrid.operators.latest import latest_rows
+
+    rows = latest_rows(spark.read.parquet(f"{sf}/segments.parquet"), "seg_id", "ingested_at", ["speaker_id", "wpm", "ingested_at"])
+    rows = rows.filter((F.col("wpm") > 0) & ~F.isnan("wpm") & (squeezed(F.col("speaker_id")) != "")).withColumn("day", F.to_date("ingested_at").cast("string"))
+    return rows.rollup("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("speaker_id").alias("speakers"), F.max("wpm").alias("fastest"))

@@ -227,3 +227,17 @@ def test_views(spark):
     names = tables.register_views(spark, "/root/testdata/sf0.001")
     assert {"segments", "documents", "clean_segments", "clean_events"} <= set(names)
     assert spark.sql("SELECT count(*) FROM clean_segments WHERE s > e OR trim(speaker_id) = ''").first()[0] == 0
+
+
+def test_model_slots(spark):
+    from talkgrid.functions import slots
+
+    df = spark.createDataFrame([(1, "good"), (2, None)], "id int, text string")
+    assert slots.with_model(df, "scores", slots.default_text_emotion()).first().scores["neutral"] == 1.0
+    r = {x.id: x.v for x in slots.with_model(df, "v", F.lit(0.0), lambda: lambda b: [None if t is None else float(len(t)) for t in b["text"]], ["text"]).collect()}
+    assert r == {1: 4.0, 2: 0.0}
+    assert slots.parse_durations("Speech=0.5, music: 1") == {"speech": 0.5, "music": 1.0} == slots.parse_durations('{"Speech": 0.5, "music": 1}')
+    assert slots.parse_durations(None) == {}
+    with pytest.raises(ValueError):
+        slots.parse_durations("speech")
+    assert df.select(slots.default_affect().alias("a"), slots.default_intent().alias("i"), slots.default_speech_emotion().alias("s")).first().a.arousal == 0.0
