@@ -70,7 +70,9 @@ def load_records(exports: DataFrame) -> DataFrame:
     ``export_id`` belong to no export and don't take part. Other columns are not read.
     """
     lines = exports.filter("export_id IS NOT NULL").select("export_id", "artefact", "station", "written_at", "payload").distinct()
-    return lines.select("export_id", "artefact", "station", "written_at", _values(json_object(F.col("payload"))).alias("cells"))
+    # parsed in a projection of its own, as the entries refer to the map more than once
+    parsed = lines.withColumn("__map", json_object(F.col("payload")))
+    return parsed.select("export_id", "artefact", "station", "written_at", _values(F.col("__map")).alias("cells"))
 
 
 def export_order(records: DataFrame) -> DataFrame:
