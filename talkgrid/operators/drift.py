@@ -18,6 +18,8 @@ from talkgrid.storage import Workspace
 #: Keys that name a record; all others are fields. ``start`` only counts for ``segments``.
 RECORD_KEYS = ("file_id", "start", "end", "speaker_id")
 _END = "#end of line"
+#: So many exports with gone and new fields are broadcast; a row has two ids and some field names.
+MOST_MOVES = 100_000
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 
@@ -98,20 +100,25 @@ def field_statistics(records: DataFrame) -> DataFrame:
     )
 
 
-def _renames(records: DataFrame, order: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """(export_id, old, new) of the gone and new fields that agree in all records that both exports hold."""
+def _renames(records: DataFrame, order: DataFrame, gone: DataFrame, new: DataFrame, space: Workspace) -> DataFrame:
+    """(export_id, old, new) of the gone and new fields that agree in all records that both exports hold.
+
+    Only exports with both are looked at. Up to ``MOST_MOVES`` of them are sent to the records, so that of all others nothing
+    is shuffled; more join by a shuffle.
+    """
     olds = gone.groupBy("export_id").agg(F.collect_set("field_name").alias("olds"))
     news = new.groupBy("export_id").agg(F.collect_set("field_name").alias("news"))
-    moves = order.select("export_id", "before_id").join(olds, "export_id").join(news, "export_id")
+    moves = space.write(order.select("export_id", "before_id").join(olds, "export_id").join(news, "export_id"), "moves")
+    sent = F.broadcast if moves.count() <= MOST_MOVES else lambda df: df
 
     tagged = lambda c: F.concat_ws(":", c["kind"], c["value"])
     present = lambda c: F.when(c["kind"].isNotNull(), tagged(c))
     cell = lambda name: F.transform(F.filter("cells", lambda c: c["path"] == name), present)[0]
     key = [cell("file_id").alias("k_file"), cell("speaker_id").alias("k_speaker"), F.when(F.col("artefact") == "segments", cell("start")).otherwise(F.lit("")).alias("k_start")]
     pick = lambda fields: F.map_from_entries(F.transform(F.filter("cells", lambda c: F.array_contains(F.col(fields), c["path"])), lambda c: F.struct(c["path"], present(c))))
-    now = records.join(moves.select("export_id", "olds", "news"), "export_id").filter("cells IS NOT NULL")
+    now = records.join(sent(moves.select("export_id", "olds", "news")), "export_id").filter("cells IS NOT NULL")
     now = now.select("export_id", *key, "olds", "news", pick("news").alias("new_values"))
-    past = records.withColumnRenamed("export_id", "before_id").join(moves.select("export_id", "before_id", "olds"), "before_id").filter("cells IS NOT NULL")
+    past = records.withColumnRenamed("export_id", "before_id").join(sent(moves.select("export_id", "before_id", "olds")), "before_id").filter("cells IS NOT NULL")
     past = past.select("export_id", *key, pick("olds").alias("old_values"))
     pairs = now.join(past, ["export_id", "k_file", "k_speaker", "k_start"]).select(
         "export_id", "old_values", "new_values", F.explode("olds").alias("old"), "news"
@@ -149,7 +156,7 @@ def drift_report(records: DataFrame, stored: bool = False) -> DataFrame:
     new = stats.filter("fresh = 1 AND seq > 1").select("export_id", "field_name")
     gone = stats.filter("after_id IS NOT NULL AND (next_seq IS NULL OR next_seq > seq + 1)").select(F.col("after_id").alias("export_id"), "field_name")
     retyped = stats.filter("fresh = 0 AND kind <> kept").select("export_id", "field_name")
-    renamed = space.write(_renames(records, order, gone, new), "renames")
+    renamed = space.write(_renames(records, order, gone, new, space), "renames")
     none = F.lit(None).cast("string").alias("former_name")
     parts = [
         new.join(renamed.withColumnRenamed("new", "field_name"), ["export_id", "field_name"], "left_anti").select("*", F.lit("added").alias("change"), none),
