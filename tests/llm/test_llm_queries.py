@@ -25,3 +25,25 @@ def test_runs(spark, name):
 
 def test_percentiles_are_certified(spark):
     assert queries.p5_percentiles(spark, SF).agg({"rank_error": "max"}).first()[0] < 0.01
+
+
+def test_ids_of_all_documents(spark, con):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    rows = con.execute("SELECT doc_id, coalesce(text, '') FROM documents ORDER BY doc_id").fetchall()
+    want = {d: e.ids for (d, _), e in zip(rows, t.encode_batch([x for _, x in rows], add_special_tokens=False))}
+    assert {r.doc_id: list(r.ids) for r in queries.p6_ids(spark, SF).collect()} == want
+
+
+def test_sources_that_fall_short(spark, con):
+    """The definition of problem 7, from the ids themselves."""
+    counts = {r.doc_id: len(r.ids) for r in queries.p6_ids(spark, SF).collect()}
+    sizes = {}
+    for doc, source in con.execute("SELECT doc_id, lower(trim(source)) FROM documents WHERE source IS NOT NULL").fetchall():
+        sizes[source] = sizes.get(source, 0) + counts[doc]
+    targets = con.execute("SELECT lower(trim(source)), target_share, max_repeats FROM mix_targets").fetchall()
+    total = sum(sizes.get(s, 0) for s, _, _ in targets)
+    want = sorted(s for s, share, most in targets if most * sizes.get(s, 0) < share * total)
+    assert sorted(r.source for r in queries.p7_found(spark, SF).collect()) == want
