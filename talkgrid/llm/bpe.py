@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -86,6 +87,8 @@ class Encoder:
         for s, b in sign.items():
             self.first[b] = vocab[s]
         self.findall = regex.compile(PATTERN).findall
+        if spill:
+            os.makedirs(spill, exist_ok=True)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{spill}/duckdb-{uuid.uuid4().hex}" if spill else ""})
         table = pa.table({
             "tok": pa.array([vocab[a] for a, _ in merges], pa.int32()), "tok2": pa.array([vocab[b] for _, b in merges], pa.int32()),
