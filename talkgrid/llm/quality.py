@@ -5,16 +5,16 @@ coverage by the dominant n-gram); prose is told from lists, tables, boilerplate
 
 Each line is a sentence-like unit, a list item, a table row or without words; wrapped lines are joined first. A
 document whose characters are mostly in list items and table rows isn't prose. What looks like sentences must also be
-language: the mean log-probability of its letter pairs, under a model of the letter pairs of the whole corpus, is far
-lower for random or scrambled letters than for any written language with these letters.
+language: its letter pairs must be probable under a fixed table, or its vowels and consonants alternate as they do in
+languages that the table doesn't know. Random or scrambled letters do neither.
 
-The model has at most ``LETTERS ** 2`` counts, whatever the corpus: each partition sends its sums. Everything else is
-a function of one text, in linear time; no row leaves its partition.
+Everything is a function of one text, in linear time: a verdict hangs on no other row, and no row leaves its partition.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -22,9 +22,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgrid.llm.letters import PAIRS
+
 #: Letters of the pair model: a to z, the accented letters of Latin-1, and one place for all else.
 _ALPHABET = [*map(chr, range(0x61, 0x7B)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
 LETTERS = len(_ALPHABET) + 1
@@ -33,12 +34,13 @@ LETTERS = len(_ALPHABET) + 1
 LEAST_PROSE = 0.5
 #: or, where it has ``FRAME`` times as many items and rows as sentences (a list in a frame of a sentence or two), this;
 FRAMED_PROSE, FRAME = 0.75, 3
-#: this share of letters among its signs, words of this mean length, and pairs of this mean log-probability;
-LEAST_LETTERS, WORD_LENGTH, LEAST_PAIRS = 0.6, (2.2, 20.0), -2.87
+#: this share of letters among its signs, words of this mean length, and this score of its pairs (less by the second
+#: value over their number) or this alternation (more by the second value over the root of its number of pairs);
+LEAST_LETTERS, WORD_LENGTH, LEAST_PAIRS, LEAST_ALTERNATION = 0.6, (2.2, 20.0), (-1.75, 12.0), (0.15, 1.0)
 #: at most this share of common words (more is function words in no order), and of the most frequent phrase of up to
 #: ``PHRASE`` words; both only count from so many words on.
 MOST_COMMON, MOST_REPEATED, PHRASE, LEAST_WORDS = 0.85, 0.6, 4, 12
-#: From so many pairs on the model counts. A text whose letters are mostly of this block is an encoded one.
+#: From so many pairs on they count. A text whose letters are mostly of this block is an encoded one.
 LEAST_PAIR_COUNT, ENCODED = 24, (0x100, 0x250)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -100,6 +102,28 @@ def letter_pairs(points: np.ndarray) -> np.ndarray:
     return pairs[pairs > 0]
 
 
+#: By place in the alphabet: 1 for a consonant, 2 for a vowel.
+_SOUND = np.array([0, *(1 + (unicodedata.normalize("NFD", c)[0] in "aeiouyæø") for c in _ALPHABET)])
+
+
+def pair_score(pairs: np.ndarray) -> float:
+    """Mean log-probability of ``pairs``, plus what it is above that of the same letters in any order."""
+    first, second = (np.bincount(x, minlength=LETTERS) / len(pairs) for x in (pairs // LETTERS, pairs % LETTERS))
+    return float(2 * PAIRS.ravel()[pairs].mean() - first @ PAIRS @ second)
+
+
+def alternates(pairs: np.ndarray) -> bool:
+    """Whether vowels and consonants alternate clearly more often than in the same letters in any order."""
+    a, b = _SOUND[pairs // LETTERS], _SOUND[pairs % LETTERS]
+    both = (a > 0) & (b > 0)
+    n = int(both.sum())
+    if not n:
+        return False
+    a, b = a[both] == 2, b[both] == 2
+    chance = a.mean() * (1 - b.mean()) + b.mean() * (1 - a.mean())
+    return bool((a != b).mean() - chance >= LEAST_ALTERNATION[0] + LEAST_ALTERNATION[1] / n**0.5)
+
+
 def _words(text: str) -> int:
     n = text.count(" ") + 1 if len(text) > 300 else len(_WORD.findall(text))  # long units need no exact number
     return n + len(_UNSPACED.findall(text)) // 2 if not text.isascii() else n
@@ -259,7 +283,7 @@ FIELDS = {
 }
 
 
-def statistics(text: str | None, common: dict[str, int], languages: int, model: np.ndarray) -> tuple:
+def statistics(text: str | None, common: dict[str, int], languages: int) -> tuple:
     """The values of ``FIELDS`` for one text; ``is_prose`` is None where there is nothing but white space."""
     if text is None or not text or text.isspace():
         return (0, None, None, None, None, None, None, None, None, None, None, None, None, None)
@@ -292,7 +316,7 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
     common_share = max((sum(n for m, n in masks.items() if m >> k & 1) for k in range(languages)), default=0) / max(1, n_words)
     coverage = phrase_coverage(tokens, times) if tokens else 0.0
     pairs = letter_pairs(points)
-    score = float(model[pairs].mean()) if len(pairs) >= LEAST_PAIR_COUNT else None
+    score = pair_score(pairs) if len(pairs) >= LEAST_PAIR_COUNT else None
     unspaced, encoded = count(_DENSE) > 0.3 * signs, count(_ENCODED) > 0.5 * max(1, letters)
     blank = np.concatenate([[True], (_KIND[points] & _BLANK) > 0])
     length = signs / max(1, int((blank[:-1] & ~blank[1:]).sum()))  # of what stands between white space
@@ -309,7 +333,7 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
         and letter_share >= LEAST_LETTERS
         and (unspaced or WORD_LENGTH[0] <= length <= WORD_LENGTH[1])
         and not encoded
-        and (score is None or score >= LEAST_PAIRS)
+        and (score is None or score >= LEAST_PAIRS[0] - LEAST_PAIRS[1] / len(pairs) or alternates(pairs))
         and not (n_words >= LEAST_WORDS and common_share > MOST_COMMON)
         and not (len(tokens) >= LEAST_WORDS and coverage > MOST_REPEATED)
     )
@@ -320,33 +344,6 @@ def statistics(text: str | None, common: dict[str, int], languages: int, model:
     )
 
 
-def pair_model(df: DataFrame, text: str) -> np.ndarray:
-    """Log-probabilities of a letter after another in the texts that are mostly letters, as one array for all pairs.
-
-    Each partition sends at most ``LETTERS ** 2`` sums; the driver gets as many.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(LETTERS * LETTERS, np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if not t:
-                    continue
-                pairs = letter_pairs(code_points(t))
-                # the model is of texts with mostly letters, so that codes and tables don't count
-                if len(pairs) > 0.8 * (len(t) - 1):
-                    sums += np.bincount(pairs, minlength=LETTERS * LETTERS)
-        there = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(sums[there], pa.int64())], ["pair", "n"])
-
-    rows = df.select(text).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.full(LETTERS * LETTERS, 0.5)
-    for pair, n in rows:
-        counts[pair] += n
-    table = counts.reshape(LETTERS, LETTERS)
-    return np.log(table / table.sum(axis=1, keepdims=True)).ravel()
-
-
 def text_statistics(df: DataFrame, text: str, keep: list[str], common_words: DataFrame) -> DataFrame:
     """Columns ``keep`` and the ``FIELDS`` of ``text``, one row for each row.
 
@@ -362,14 +359,13 @@ def text_statistics(df: DataFrame, text: str, keep: list[str], common_words: Dat
     common: dict[str, int] = {}
     for lang, word in found:
         common[word.lower()] = common.get(word.lower(), 0) | 1 << languages.index(lang or "")
-    model = pair_model(df, text)
     given = df.select(*keep, df[text].alias("__text"))
     schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in FIELDS.items())).fields])
     types = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[v] for v in FIELDS.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [statistics(t, common, len(languages), model) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [statistics(t, common, len(languages)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = list(zip(*made)) if made else [()] * len(types)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, t) for c, t in zip(columns, types)]], [*keep, *FIELDS])
 

@@ -97,6 +97,30 @@ def test_prose_and_junk(spark):
         assert out[i].is_prose is None and out[i].n_words == 0
 
 
+def test_verdicts_hang_on_no_other_row(spark):
+    common = spark.read.parquet("/root/testdata/sf0.001/common_words.parquet")
+    scrambled = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id = 2762").select("text")
+    rest = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    skewed = rest.unionByName(spark.range(500).select((-1 - F.col("id")).alias("doc_id")).crossJoin(scrambled))
+    found = {r.doc_id: r.is_prose for r in quality.text_statistics(skewed, "text", ["doc_id"], common).select("doc_id", "is_prose").collect()}
+    assert not any(v for k, v in found.items() if k < 0)
+    alone = {r.doc_id: r.is_prose for r in quality.text_statistics(rest, "text", ["doc_id"], common).collect()}
+    assert alone == {k: v for k, v in found.items() if k >= 0}
+
+
+def test_languages_that_the_letter_table_does_not_know(spark):
+    texts = [
+        "Sabah ofise geldiğimizde kapının neden açık olduğunu bilmiyorum ama kimse yeni müdürle bu konuda konuşmak istemedi bugün.",
+        "En tiedä miksi ovi oli auki kun tulimme aamulla toimistoon, mutta kukaan ei halunnut puhua siitä uuden johtajan kanssa tänään.",
+        "Sijui kwa nini mlango ulikuwa wazi tulipofika ofisini asubuhi, lakini hakuna mtu aliyetaka kuzungumza kuhusu jambo hilo na meneja mpya.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    english = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.lit(-1).alias("id"), "text")
+    out = quality.text_statistics(df.unionByName(english), "text", ["id"], common).filter("id >= 0").collect()
+    assert len(out) == 3 and all(r.is_prose for r in out)
+
+
 def test_statistics_by_hand(spark):
     common = spark.createDataFrame([("en", "the"), ("en", "a"), ("de", "der"), (None, None)], "lang string, word string")
     df = spark.createDataFrame([(1, "The cat. The cat.\nThe dog!\nThe dog!\n\nx1 y", 5)], "id int, text string, n_words int")
