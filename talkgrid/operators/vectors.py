@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.storage import Workspace
-
 #: Added to norms, so that zero vectors have no infinite similarity.
 TINY = 1e-9
-#: Names of the registry that are compared at once, and vectors that are clustered at once.
+#: Names of the registry that are compared at once, and clusters that one is compared with at once; no result hangs on them.
 NAMES_AT_ONCE, CLUSTERED_AT_ONCE = 20_000, 1_000
 
 
@@ -135,44 +135,87 @@ def agglomerate(x: np.ndarray, weights: np.ndarray, threshold: float, k: int | N
     return np.unique(label, return_inverse=True)[1]
 
 
+def linked(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels of the clusters of ``agglomerate`` up to ``threshold``, without a matrix of pairs: memory grows with ``x``.
+
+    The mean cosine distance of two clusters is 1 less the product of the means of their unit vectors, so a sum and a
+    count is all that a cluster needs. A chain goes from a cluster to its nearest one until two are nearest to each
+    other, which are joined; with average linkage this gives the clusters of joining the nearest pair first. A cluster
+    without any other within ``threshold`` stays so, and is left out from then on.
+    """
+    n = len(x)
+    sums = x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+    weight, label, at = np.ones(n), np.arange(n), np.arange(n)
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+
+    def nearest(i: int, before: int | None) -> tuple[int, float]:
+        mean, best, least = sums[i] / weight[i], -1, np.inf
+        for a in range(0, len(sums), CLUSTERED_AT_ONCE):
+            d = 1.0 - sums[a : a + CLUSTERED_AT_ONCE] @ mean / weight[a : a + CLUSTERED_AT_ONCE]
+            d[~alive[a : a + CLUSTERED_AT_ONCE]] = np.inf
+            if a <= i < a + len(d):
+                d[i - a] = np.inf
+            if before is not None and a <= before < a + len(d) and d[before - a] <= least + TINY and d[before - a] <= d.min() + TINY:
+                best, least = before, d[before - a]  # of equally near ones the one before, or the chain would have no end
+            elif len(d) and d.min() < least - (TINY if best == before else 0):
+                best, least = a + int(d.argmin()), d.min()
+        return best, float(least)
+
+    left, first = n, 0
+    while True:
+        if not chain:
+            while first < len(alive) and not alive[first]:
+                first += 1
+            if first == len(alive):
+                break
+            chain.append(first)
+        i = chain[-1]
+        j, d = nearest(i, chain[-2] if len(chain) > 1 else None)
+        if j < 0 or d > threshold:
+            alive[i] = False
+            chain.pop()
+            left -= 1
+        elif len(chain) > 1 and j == chain[-2]:
+            i, j = min(i, j), max(i, j)
+            sums[i] += sums[j]
+            weight[i] += weight[j]
+            label[at[j]] = at[i]
+            alive[j] = False
+            del chain[-2:]
+            left -= 1
+        else:
+            chain.append(j)
+        if not chain and left < len(alive) // 2:
+            sums, weight, at, first = sums[alive], weight[alive], at[alive], 0
+            alive = np.ones(left, bool)
+    for i in range(n):  # a cluster is named by its lowest row, which comes before all that were joined to it
+        label[i] = label[label[i]]
+    return np.unique(label, return_inverse=True)[1]
+
+
 def cluster(df: DataFrame, keys: list[str], ident: str, vector: str, threshold: float = 0.25) -> DataFrame:
     """Clusters of the vectors of each group: ``keys``, ``ident``, ``cluster``, numbered by the first ``ident``.
 
-    Groups of up to ``CLUSTERED_AT_ONCE`` vectors are clustered at once. Larger ones are dealt to parts by a hash; parts
-    are clustered, and then the weighted centroids of their clusters in the same way, level by level, until a group is one part. So
-    no task holds a large group; a vector may only differ in its cluster where clusters nearly touch. If a level joins
-    nothing any more, what is left are the clusters.
+    Average linkage by cosine distance, by the same rule at every size. A group is one task's: its memory grows with
+    the vectors of the group, its time with their square. Null vectors don't count; vectors of a group have one length.
     """
-    space = Workspace(df.sparkSession)
     types = dict(df.dtypes)
     names = [f"k{i}" for i in range(len(keys))]
-    key = ", ".join(f"{a} {types[k]}" for k, a in zip(keys, names))
+    key = "".join(f"{a} {types[k]}, " for k, a in zip(keys, names))
     rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    nodes = space.write(rows.select(*names, F.col("id").cast("string").alias("node"), "v", F.lit(1.0).alias("w")), "nodes0")
-    link = rows.select(*names, "id", F.col("id").cast("string").alias("node"))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        x = np.stack([np.asarray(v) for v in pdf["v"]])
-        joint = agglomerate(x, pdf["w"].to_numpy(), threshold)
-        return pdf[[*names, "node", "v", "w"]].assign(up=[f"{part}.{j}" for part, j in zip(pdf["part"], joint)])
-
-    level, left = 0, nodes.count()
-    while left:
-        sizes = nodes.groupBy(*names).agg(F.expr(f"CAST(ceil(count(*) / {float(CLUSTERED_AT_ONCE)}D) AS bigint)").alias("parts"))
-        dealt = nodes.join(sizes, names).withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
-        joined = space.write(dealt.groupBy(*names, "part").applyInPandas(inside, f"{key}, node string, v array<double>, w double, up string"), f"joined{level}")
-        link = space.write(link.join(joined.select(*names, "node", "up"), [*names, "node"]).select(*names, "id", F.col("up").alias("node")), f"link{level}")
-        cells = joined.select(*names, "up", "w", F.posexplode("v").alias("pos", "x")).groupBy(*names, "up", "pos").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"), F.sum("w").alias("w"))
-        middles = cells.groupBy(*names, "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"), F.max("w").alias("w"))
-        level += 1
-        nodes = space.write(middles.withColumnRenamed("up", "node"), f"nodes{level}")
-        before, left = left, nodes.count()
-        if sizes.agg(F.max("parts")).first()[0] == 1 or left == before:
-            break
-    firsts = link.groupBy(*names, "node").agg(F.min("id").alias("first"))
-    numbers = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy(*names).orderBy("first")))
-    out = link.join(numbers, [*names, "node"])
+
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("id", "ascending")])).combine_chunks()
+        v = table["v"]
+        if len(pc.unique(pc.list_value_length(v))) != 1:
+            raise ValueError("vectors of a group have different lengths")
+        x = pc.list_flatten(v).to_numpy().reshape(len(v), -1)
+        return table.drop_columns("v").append_column("label", pa.array(linked(x, threshold), pa.int64()))
+
+    joined = rows.groupBy(*names).applyInArrow(inside, f"{key}id {types[ident]}, label bigint")
+    firsts = joined.withColumn("first", F.min("id").over(Window.partitionBy(*names, "label")))
+    out = firsts.withColumn("cluster", F.dense_rank().over(Window.partitionBy(*names).orderBy("first", "label")))
     return out.select(*[F.col(a).alias(k) for k, a in zip(keys, names)], F.col("id").alias(ident), "cluster")
 
 

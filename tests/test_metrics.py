@@ -199,6 +199,15 @@ def test_clusters_of_many_vectors(spark, monkeypatch):
     assert vectors.cluster(df.limit(0), ["g"], "id", "v").count() == 0
 
 
+def test_clusters_are_those_of_average_linkage_at_any_size(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("g", F.lit("x"))
+    rows = df.select("vec_id", "embedding").orderBy("vec_id").collect()
+    wanted = vectors.agglomerate(np.array([r.embedding for r in rows], np.float64), np.ones(len(rows)), 0.6)
+    found = {r.vec_id: r.cluster for r in vectors.cluster(df, ["g"], "vec_id", "embedding", 0.6).collect()}
+    assert len(found) == len(rows) == 2000
+    assert len({(found[r.vec_id], w) for r, w in zip(rows, wanted)}) == len(set(found.values())) == len(set(wanted))
+
+
 def test_merging_and_fit_of_labels(spark):
     df = spark.createDataFrame([("f", "a", [1.0, 0.0]), ("f", "b", [0.99, 0.1]), ("f", "c", [0.0, 1.0]), ("g", "a", [1.0, 0.0])], "f string, l string, v array<double>")
     merged = {(r.f, r.l): r.merged_into for r in vectors.merge_similar(vectors.centroids(df, ["f", "l"], "v"), ["f"], "l", 0.1).collect()}
