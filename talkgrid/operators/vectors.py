@@ -260,3 +260,21 @@ def silhouette(df: DataFrame, keys: list[str], label: str, vector: str) -> DataF
     own = F.array_min(F.transform(F.filter(far, lambda m: m["l"] == F.col(label)), lambda m: m["d"]))
     other = F.array_min(F.transform(F.filter(far, lambda m: m["l"] != F.col(label)), lambda m: m["d"]))
     return rows.select(*keys, own.alias("a"), other.alias("b")).groupBy(*keys).agg(F.avg(F.expr("CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) WHEN b IS NOT NULL THEN 0.0D END")).alias("silhouette"))
+
+
+def mean_silhouette(df: DataFrame, keys: list[str], label: str, vector: str) -> DataFrame:
+    """The silhouette of labels by cosine distance to all members, -1 to 1: ``keys``, ``silhouette``.
+
+    The mean distance of a unit vector to the members of a label is 1 less its product with their mean, so this needs no
+    pairs of vectors. A vector that is alone in its label counts 0. Null where a group has one label.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(*keys, F.col(label).alias("__l"), unit(F.col(vector)).alias("__u"))
+    cells = rows.select(*keys, "__l", F.posexplode("__u").alias("pos", "x")).groupBy(*keys, "__l", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = cells.groupBy(*keys, "__l").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("s"), F.max("n").alias("n"))
+    packed = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col("__l").alias("l"), "s", "n")).alias("all"))
+    far = F.transform("all", lambda m: F.struct(m["l"].alias("l"), m["n"].alias("n"), dot(F.col("__u"), m["s"]).alias("p")))
+    own = F.filter("far", lambda m: m["l"] == F.col("__l"))[0]
+    other = F.array_min(F.transform(F.filter("far", lambda m: m["l"] != F.col("__l")), lambda m: 1 - m["p"] / m["n"]))
+    a = F.when(own["n"] > 1, 1 - (own["p"] - dot(F.col("__u"), F.col("__u"))) / (own["n"] - 1))
+    fit = rows.join(packed, keys).withColumn("far", far).select(*keys, a.alias("a"), other.alias("b"))
+    return fit.groupBy(*keys).agg(F.avg(F.expr("CASE WHEN b IS NULL THEN NULL WHEN greatest(a, b) > 0 AND a IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0.0D END")).alias("silhouette"))

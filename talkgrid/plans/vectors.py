@@ -199,7 +199,7 @@ def merge_similar_speakers(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def speaker_silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    return V.silhouette(_vectors(spark, sf).withColumn("file_id", F.lit("all")), ["file_id"], "label", "embedding")
+    return V.mean_silhouette(_vectors(spark, sf).withColumn("file_id", F.lit("all")), ["file_id"], "label", "embedding")
 
 
 @R.add()

@@ -216,6 +216,24 @@ def test_merging_and_fit_of_labels(spark):
     assert fit["f"] == pytest.approx(1.0) and fit["g"] is None
 
 
+def test_silhouette_of_all_members(spark):
+    from talkgrid.plans import vectors as plans
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r.label for r in rows])
+    d, fit = 1 - x @ x.T, []
+    for i, own in enumerate(label):
+        a = (d[i, label == own].sum() - d[i, i]) / max(1, (label == own).sum() - 1)
+        b = min(d[i, label == other].mean() for other in set(label) if other != own)
+        fit.append((b - a) / max(a, b))
+    assert plans.speaker_silhouette(spark, "/root/testdata/sf0.001").first().silhouette == pytest.approx(np.mean(fit), abs=1e-6)
+    few = spark.createDataFrame([("f", "a", [1.0, 0.0]), ("f", "a", [2.0, 0.0]), ("f", "b", [0.0, 1.0]), ("g", "a", [1.0, 0.0])], "f string, l string, v array<double>")
+    got = {r.f: r.silhouette for r in vectors.mean_silhouette(few, ["f"], "l", "v").collect()}
+    assert got["f"] == pytest.approx(2 / 3, abs=1e-6) and got["g"] is None
+
+
 def test_active_speakers(spark):
     df = seg(spark, [("A", 0, 1000), ("B", 500, 2000), ("B", 600, 700), ("A", 3000, 3000), ("C", 4000, 5000)])
     got = sorted((r.s, r.e, r.speaker_id) for r in streams.active_speakers(df).collect())
