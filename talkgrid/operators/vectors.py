@@ -278,3 +278,52 @@ def mean_silhouette(df: DataFrame, keys: list[str], label: str, vector: str) ->
     a = F.when(own["n"] > 1, 1 - (own["p"] - dot(F.col("__u"), F.col("__u"))) / (own["n"] - 1))
     fit = rows.join(packed, keys).withColumn("far", far).select(*keys, a.alias("a"), other.alias("b"))
     return fit.groupBy(*keys).agg(F.avg(F.expr("CASE WHEN b IS NULL THEN NULL WHEN greatest(a, b) > 0 AND a IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0.0D END")).alias("silhouette"))
+
+
+def _spoken(turns: DataFrame) -> DataFrame:
+    """Of each file: ``n`` speakers, ``turns``, and of the speaker with most speech ``speaker_id`` and ``share``; ``second``, the speech of the next."""
+    by = turns.groupBy("file_id", "speaker_id").agg(F.sum(F.greatest(F.col("speech"), F.lit(0))).alias("speech"), F.count(F.lit(1)).alias("turns"))
+    files = by.groupBy("file_id").agg(
+        F.sum("speech").alias("total"), F.sum("turns").alias("turns"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("speech")).alias("d"), "speaker_id"))).alias("t")
+    )
+    second = F.when(F.col("n") > 1, -F.col("t")[1]["d"])
+    return files.filter("total > 0").select("file_id", "n", "turns", F.col("t")[0]["speaker_id"].alias("speaker_id"), F.expr("-t[0].d / CAST(total AS double)").alias("share"), second.alias("second"))
+
+
+def collapse_turns(turns: DataFrame, dominance: float = 0.88, centroid: float = 0.08, min_turns: int = 3, secondary_max_ratio: float | None = None, secondary_min: int | None = None) -> DataFrame:
+    """Whether a file is of one speaker, by its turns: ``file_id``, ``speaker_id`` (dominant), ``share``, ``collapse``.
+
+    ``turns`` has ``file_id``, ``speaker_id``, ``speech`` (ms) and ``vector``; those without a speaker don't count. From
+    ``min_turns`` on, one voice must have ``dominance`` of the speech (and the others together less than
+    ``secondary_max_ratio``), or no two centroids be further apart than ``centroid``; each other voice must have less
+    than ``secondary_min``. Centroids of a file travel as one row, as there are few speakers.
+    """
+    turns = turns.filter("trim(speaker_id) <> ''")
+    packed = centroids(turns, ["file_id", "speaker_id"], "vector").groupBy("file_id").agg(F.collect_list("centroid").alias("all"))
+    pairs = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: 1 - cosine(a, b))))
+    apart = packed.filter(F.size("all") > 1).select("file_id", F.array_max(pairs).alias("apart"))
+    rows = _spoken(turns).join(apart, "file_id", "left")
+    dominant, near = F.col("share") >= dominance, F.coalesce(F.col("apart") <= centroid, F.lit(False))
+    if dominance <= 0:
+        dominant = F.lit(False)
+    if centroid <= 0:
+        near = F.lit(False)
+    small = 1 - F.col("share") < secondary_max_ratio if secondary_max_ratio else F.lit(True)
+    collapse = (F.col("n") > 1) & (F.col("turns") >= max(2, min_turns)) & F.when(dominant, small).otherwise(near)
+    if secondary_min:
+        collapse = collapse & (F.coalesce("second", F.lit(0)) < secondary_min)
+    return rows.select("file_id", "speaker_id", "share", collapse.alias("collapse"))
+
+
+def force_single_speaker(turns: DataFrame, dominance: float = 0.85, most: int = 4, fit: float = 0.10) -> DataFrame:
+    """Whether a file's labels are to be made one, as they don't fit: ``file_id``, ``speaker_id`` (dominant), ``share``, ``silhouette``, ``force``.
+
+    ``turns`` as for ``collapse_turns``. One voice has ``dominance`` of the speech, there are 2 to ``most`` voices, and the
+    silhouette of the turns' vectors (zero ones don't count) is at most ``fit``; it needs more vectors than labels.
+    """
+    turns = turns.filter("trim(speaker_id) <> ''")
+    known = turns.filter(F.col("vector").isNotNull()).filter(norm(F.col("vector")) > 0)
+    enough = known.groupBy("file_id").agg(F.count(F.lit(1)).alias("v"), F.countDistinct("speaker_id").alias("l")).filter("l > 1 AND v > l")
+    scores = mean_silhouette(known, ["file_id"], "speaker_id", "vector").join(enough.select("file_id"), "file_id")
+    force = (F.col("n") > 1) & (F.col("n") <= most) & (F.col("share") >= dominance) & F.coalesce(F.col("silhouette") <= fit, F.lit(False))
+    return _spoken(turns).join(scores, "file_id", "left").select("file_id", "speaker_id", "share", "silhouette", force.alias("force"))

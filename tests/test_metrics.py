@@ -116,6 +116,20 @@ def test_collapse(spark):
     assert not vectors.collapse_speakers(df, secondary_max_ratio=0.04).filter("file_id = 'f'").first().collapse
 
 
+def test_collapse_of_turns(spark):
+    one, near, far = [1.0, 0.0], [0.99, 0.1], [0.0, 1.0]
+    rows = [
+        *[("near", s, 50, v) for s, v in (("A", one), ("A", one), ("B", near))], *[("far", s, 50, v) for s, v in (("A", one), ("A", one), ("B", far))],
+        ("two", "A", 95, one), ("two", "B", 5, one), ("main", "A", 90, one), ("main", "A", 90, far), ("main", "B", 9, far), ("none", "A", 50, None), ("none", "A", 50, None), ("none", "B", 50, None),
+    ]
+    df = spark.createDataFrame(rows, "file_id string, speaker_id string, speech bigint, vector array<double>")
+    got = lambda **x: {r.file_id for r in vectors.collapse_turns(df, **x).collect() if r.collapse}
+    assert got() == {"near", "main"} and got(min_turns=2) == {"near", "main", "two"}
+    assert got(secondary_max_ratio=0.04) == {"near"} and got(secondary_min=50) == {"main"} and got(centroid=0) == {"main"}
+    forced = {r.file_id: (r.force, r.silhouette) for r in vectors.force_single_speaker(df).collect()}
+    assert {k for k, v in forced.items() if v[0]} == {"main"} and forced["two"][1] is None and forced["far"][1] == pytest.approx(2 / 3, abs=1e-6)
+
+
 def test_transcripts(spark, golden):
     split = {r.part: r.text for r in transcripts.split_text(golden.limit(1), [0.5, 0.3, 0.2]).collect()}
     assert split == {0: "hello", 1: "topic", 2: "one"}
