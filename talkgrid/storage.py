@@ -14,10 +14,14 @@ _LIVE: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a local folder is made, and stored in the session.
+    Only where the setting is missing and the master is local (tests on one machine) a local folder is made, and
+    stored in the session. On a cluster executors share no local folder, so there a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="talkgrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

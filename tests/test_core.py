@@ -113,12 +113,64 @@ def test_typed_projection(spark):
     data = lines('{"file_id":"f","start":"1.5","n":1,"note":"x"}', '{"n":"7"}', '{"n":"seven"}', '{"n":2,"file":{"a":1}}', "broken")
     df = spark.createDataFrame(data, "export_id bigint, artefact string, station string, written_at int, line_no int, payload string")
     records = drift.load_records(df)
-    table, failed = drift.consistent_table(records, {"n": "n", "note": "note", "file": "file"})
-    assert sorted(r.n for r in table.collect() if r.n is not None) == [1.0, 2.0, 7.0]
-    assert {r.field_name: (r.kind, r["values"], r.failed) for r in failed.collect()} == {"n": ("number", 4, 1), "note": ("string", 1, 0), "file": ("object", 1, 0)}
+    table, failed = drift.consistent_table(records)
+    assert sorted(r.n for r in table.collect() if r.n is not None) == [1, 2, 7]
+    assert {r.field_name: (r.type, r["values"], r.failed) for r in failed.collect()} == {"n": ("bigint", 4, 1), "note": ("string", 1, 0), "file": ("string", 1, 0)}
     assert table.count() == 4 and [r.start for r in table.collect() if r.start] == [1.5]
 
 
+def exports(spark, *data):
+    """Records of lines (export, station, time, payload)."""
+    rows = [(e, "segments", station, at, i, payload) for i, (e, station, at, payload) in enumerate(data)]
+    return drift.load_records(spark.createDataFrame(rows, "export_id bigint, artefact string, station string, written_at int, line_no int, payload string"))
+
+
+def test_renaming_of_one_station_moves_no_values_of_another(spark):
+    a = lambda e, f, v: (e, "A", e, f'{{{KEY},"{f}":{v}}}')
+    records = exports(spark, a(1, "snr", 5), a(2, "level", 5), a(3, "level", 6), (4, "B", 1, f'{{{KEY},"snr":7,"level":99}}'), (5, "C", 1, f'{{{KEY},"level":8}}'))
+    table, casts = drift.consistent_table(records)
+    by = {r.export_id: (r.snr, r.level) for r in table.collect()}
+    # level is in most records, so the line of A goes there; both fields of B stay what they are
+    assert by == {1: (None, 5), 2: (None, 5), 3: (None, 6), 4: (7, 99), 5: (None, 8)}
+    found = {(r.export_id, r.field_name): (r.column_name, r["values"], r.failed) for r in casts.collect()}
+    assert found[1, "snr"] == ("level", 1, 0) and found[4, "snr"] == ("snr", 1, 0) and found[4, "level"] == ("level", 1, 0) and len(found) == 6
+    assert {(r.export_id, r.column_name, r.value) for r in drift.consistent_values(records).collect()} == {(1, "level", "5"), (2, "level", "5"), (3, "level", "6"), (4, "snr", "7"), (4, "level", "99"), (5, "level", "8")}
+
+
+def test_a_former_name_that_comes_back_keeps_its_values(spark):
+    a = lambda e, *f: (e, "A", e, f'{{{KEY},{",".join(f)}}}')
+    records = exports(spark, a(1, '"x":5'), a(2, '"y":5'), a(3, '"y":6', '"x":1'), a(4, '"z":6', '"x":1'), a(5, '"z":7', '"x":2'), a(6, '"z":7'))
+    rows = {r.export_id: {c: r[c] for c in "xyz" if c in r and r[c] is not None} for r in drift.consistent_table(records)[0].collect()}
+    # one line x, y, z, of which z is in most records; and another x
+    assert rows == {1: {"z": 5}, 2: {"z": 5}, 3: {"z": 6, "x": 1}, 4: {"z": 6, "x": 1}, 5: {"z": 7, "x": 2}, 6: {"z": 7}}
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    one, other = 9007199254740993, 9007199254740992
+    records = exports(spark, (1, "A", 1, f'{{{KEY},"n":{one},"d":1.5,"w":12345678901234567890.5,"e":1e3}}'), (2, "A", 2, f'{{{KEY},"m":{other},"d":1,"w":1,"e":1000}}'))
+    assert {(r.field_name, r.change) for r in drift.drift_report(records).collect()} == {("n", "removed"), ("m", "added")}
+    table = drift.consistent_table(records)[0]
+    kinds = dict(table.dtypes)
+    assert (kinds["n"], kinds["d"], kinds["w"], kinds["e"]) == ("bigint", "double", "decimal(38,18)", "bigint")
+    first = {r.export_id: r for r in table.collect()}
+    assert first[1].n == one and first[2].m == other and str(first[1].w).rstrip("0") == "12345678901234567890.5" and first[1].e == first[2].e == 1000
+
+
+def test_fields_beyond_the_most_columns_stay_in_a_map(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MOST_COLUMNS", 2)
+    table = drift.consistent_table(exports(spark, (1, "A", 1, f'{{{KEY},"a":1,"b":2,"c":3}}'), (2, "A", 2, f'{{{KEY},"a":1,"b":2,"File_ID":4}}')))[0]
+    rows = {r.export_id: (r.a, r.b, r.other_fields) for r in table.collect()}
+    assert rows == {1: (1, 2, {"c": "3"}), 2: (1, 2, {"File_ID": "4"})}
+
+
+def test_renaming_evidence_with_repeated_keys(spark):
+    a = lambda e, *f: [(e, "A", e, f'{{{KEY},"i":{i},{x}}}') for i, x in enumerate(f)]
+    same = exports(spark, *a(1, '"x":5', '"x":5'), *a(2, '"y":5', '"y":5'))
+    assert [(r.field_name, r.change) for r in drift.drift_report(same).collect()] == [("y", "renamed")]
+    other = exports(spark, *a(1, '"x":5', '"x":6'), *a(2, '"y":6', '"y":5'))
+    assert len(drift.drift_report(other).collect()) == 2
+
+
 @pytest.mark.parametrize("block", [50, 10**9])
 def test_previous_and_last_known(spark, block):
     rnd = random.Random(3)
