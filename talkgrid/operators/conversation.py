@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions.text import content_words
 from talkgrid.operators.sequences import turns, with_previous
+from talkgrid.storage import Workspace
 
 #: Longest pause, in ms, that counts as a response.
 LONGEST_RESPONSE = 5000
@@ -43,7 +44,10 @@ def interruptions_by_row(segments: DataFrame) -> DataFrame:
 
 def responses(segments: DataFrame) -> DataFrame:
     """Turns with ``latency``: from the end of the turn before to the start; only those of 0 to 5 s."""
-    starts = turns(segments.select("file_id", "idx", "speaker_id", "s", "e"), ["file_id"])
+    return _responses(turns(segments.select("file_id", "idx", "speaker_id", "s", "e"), ["file_id"]))
+
+
+def _responses(starts: DataFrame) -> DataFrame:
     rows = with_previous(starts, ["file_id"], ["s", "idx"], ["e"]).withColumn("latency", F.col("s") - F.col("prev_e"))
     return rows.filter(f"latency BETWEEN 0 AND {LONGEST_RESPONSE}").select("file_id", "idx", "speaker_id", "latency")
 
@@ -85,20 +89,30 @@ def topic_coherence(segments: DataFrame) -> DataFrame:
 def conversation_metrics(segments: DataFrame) -> DataFrame:
     """One row a file: balance, dominance, interruptions and turns a minute, turn length, response latency, silence.
 
-    A file has a row however few segments it has; rates are 0 where the duration is 0.
+    A file has a row however few segments it has; rates are 0 where the duration is 0. The rows with their predecessors
+    are written once; speakers are aggregated before files.
     """
-    base = durations(segments)
-    cuts = interruptions_by_row(segments).groupBy("file_id").agg(F.count(F.lit(1)).alias("cuts"))
-    starts = turns(segments.select("file_id", "idx", "speaker_id", "s", "e"), ["file_id"])
-    begun = starts.groupBy("file_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.col("e") - F.col("s")).alias("turn_ms"))
-    answers = responses(segments).groupBy("file_id").agg(
+    given = segments.select("file_id", "idx", "speaker_id", "s", "e")
+    rows = with_previous(given, ["file_id"], ["s", "idx"], ["speaker_id", "e"])
+    rows = rows.withColumn("turn", F.expr("(prev_speaker_id IS NULL OR prev_speaker_id <> speaker_id) AND e > s")).withColumn("cut", F.expr("coalesce(s < prev_e, false)"))
+    rows = Workspace(segments.sparkSession).write(rows.drop("prev_speaker_id", "prev_e"), "rows")
+    length = F.col("e") - F.col("s")
+    by = rows.groupBy("file_id", "speaker_id").agg(
+        F.max("e").alias("total"), F.sum(length).alias("x"), F.count_if("cut").alias("cuts"), F.count_if("turn").alias("turns"), F.sum(F.when(F.col("turn"), length)).alias("turn_ms")
+    )
+    base = by.groupBy("file_id").agg(
+        F.max("total").alias("total"), F.sum("x").alias("speech"), F.sum("cuts").alias("cuts"), F.sum("turns").alias("turns"), F.sum("turn_ms").alias("turn_ms"),
+        F.count_if(F.col("x") > 0).alias("k"), F.max("x").alias("most"), F.sum(F.when(F.col("x") > 0, F.col("x") * F.log2("x"))).alias("xlogx"),
+    )
+    answers = _responses(rows.filter("turn")).groupBy("file_id").agg(
         F.count(F.lit(1)).alias("answers"), F.sum("latency").alias("latency"), F.expr("percentile(latency, 0.5D)").alias("median")
     )
-    out = base.join(turn_balance(segments), "file_id").join(cuts, "file_id", "left").join(begun, "file_id", "left").join(answers, "file_id", "left")
+    out = base.join(answers, "file_id", "left")
     rate = lambda c: F.expr(f"CASE WHEN total > 0 THEN coalesce({c}, 0) / (total / 60000.0D) ELSE 0.0D END")
     return out.select(
-        "file_id", F.col("balance").alias("turn_taking_balance"), "dominance_max", rate("cuts").alias("interruption_rate_per_min"),
-        F.expr("coalesce(turn_ms / (turns * 1000.0D), 0.0D)").alias("avg_turn_duration_sec"), rate("turns").alias("turns_per_min"),
+        "file_id", F.expr("CASE WHEN k > 1 THEN (log2(speech) - xlogx / speech) / log2(k) ELSE 0.0D END").alias("turn_taking_balance"),
+        F.expr("CASE WHEN speech > 0 THEN most / CAST(speech AS double) * 100 ELSE 0.0D END").alias("dominance_max"), rate("cuts").alias("interruption_rate_per_min"),
+        F.expr("CASE WHEN turns > 0 THEN turn_ms / (turns * 1000.0D) ELSE 0.0D END").alias("avg_turn_duration_sec"), rate("turns").alias("turns_per_min"),
         F.expr("coalesce(latency / (answers * 1000.0D), 0.0D)").alias("latency_avg_sec"), F.expr("coalesce(median / 1000.0D, 0.0D)").alias("latency_median_sec"),
         F.coalesce("answers", F.lit(0)).cast("bigint").alias("latency_count"),
         F.expr("CASE WHEN total > 0 THEN greatest(0.0D, least(1.0D, 1 - speech / CAST(total AS double))) ELSE 1.0D END").alias("silence_ratio"),

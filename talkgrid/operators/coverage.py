@@ -1,19 +1,27 @@
 """Problem 3: continuous periods and gaps of overlapping intervals.
 
-Method: time in whole units is cut into shards of 2**16 units. Per entity and shard, intervals become one
-run-compressed bitmap (a run container: sorted, disjoint runs of set units); containers are united, and the set runs
-(periods) and clear runs (gaps) are read off them and joined across shard borders.
-
-A container is first kept as "start unit -> furthest end", which partial aggregation builds before the shuffle and
-which has at most 2**16 entries however many intervals fall into the shard. So a hot entity is spread over its
-shards, and no task holds more of one group than a shard can have. Joining across borders sees at most two runs of
-each shard, a number that depends on the time covered and not on the rows.
+Method: time in exact whole units is cut into shards of 2**16 units. Per entity and shard, the units that are covered
+are one run-compressed bitmap, a run container: sorted, disjoint runs [start, end) of set bits, with the number of
+intervals that begin in each. Containers are made of the intervals of a batch where these lie (Arrow batches; all groups
+of a batch at once), so only united containers are shuffled; those of one entity and shard are united again, and the
+set runs (periods) and clear runs (gaps) are read off. The first and last runs of a shard are joined across borders.
+
+A container has at most 2**15 runs however many intervals fall into the shard. So a hot entity is spread over its shards,
+and no task holds more of one group than a shard can have. Joining across borders sees at most two runs of each shard,
+a number that depends on the time covered and not on the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talkgrid.storage import Workspace
 
 #: Units of time in a shard.
 SHARD = 1 << 16
@@ -42,32 +50,99 @@ def _pieces(intervals: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _islands(df: DataFrame, part: list[str], keep: bool = False) -> DataFrame:
-    """``df`` (s, e, n) with the number of the run each row belongs to; touching rows are one run."""
-    w = Window.partitionBy(*part).orderBy("s")
-    upto = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("upto", upto).withColumn("fresh", F.expr("IF(upto IS NULL OR s > upto, 1, 0)"))
-    df = df.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df if keep else df.drop("upto")
+def unite(group: np.ndarray, s: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The union of run containers: sorted, disjoint runs (group, s, e, n) of those given in any order.
+
+    ``group`` numbers containers, from 0. Runs that overlap or touch are one, with the sum of their ``n``; this is
+    associative, so containers of parts can be united in any order.
+    """
+    if not len(s):
+        return group, s, e, n
+    order = np.lexsort((s, group))
+    group, s, e, n = group[order], s[order], e[order], n[order]
+    # the furthest end so far in each container: ends are ranked, and ranks of later containers lie above earlier ones
+    ranked, rank = np.unique(e, return_inverse=True)
+    furthest = np.maximum.accumulate(rank + group * len(ranked)) - group * len(ranked)
+    upto = ranked[furthest]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (s[1:] > upto[:-1])
+    first = np.flatnonzero(fresh)
+    return group[first], s[first], np.maximum.reduceat(e, first), np.add.reduceat(n, first)
+
+
+def _lists(group: np.ndarray, groups: int, *values: np.ndarray) -> list[pa.ListArray]:
+    """Arrow lists of ``values`` by ``group``, which is sorted."""
+    offsets = pa.array(np.searchsorted(group, np.arange(groups + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in values]
+
+
+def _numbered(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, pa.Table]:
+    """The number of each row's group, and a row of ``keys`` for each group in order of numbers."""
+    table = pa.Table.from_batches([batch.select(keys)]).append_column("__row", pa.array(np.arange(batch.num_rows)))
+    firsts = table.group_by(keys, use_threads=False).aggregate([("__row", "min"), ("__row", "list")])
+    number = np.empty(batch.num_rows, np.int64)
+    lists = firsts["__row_list"].combine_chunks()
+    number[lists.values.to_numpy()] = np.repeat(np.arange(len(firsts)), np.diff(lists.offsets.to_numpy()))
+    return number, firsts.select(keys)
+
+
+def _containers(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """The run container of each of ``keys`` (the last one is the shard) as lists ``s``, ``e``, ``n``, of ``pieces`` (s, e, n)."""
+    given = pieces.select(*keys, "s", "e", "n")
+    lists = [T.StructField(c, T.ArrayType(T.LongType(), False), False) for c in ("s", "e", "n")]
+    schema = T.StructType([*given.schema.fields[: len(keys)], *lists])
+
+    def made(number: np.ndarray, names: pa.Table, s: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        group, *runs = unite(number, s, e, n)
+        columns = [*(c.combine_chunks() for c in names.columns), *_lists(group, len(names), *runs)]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "s", "e", "n"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number, names = _numbered(batch, keys)
+                yield made(number, names, *(batch.column(c).to_numpy() for c in ("s", "e", "n")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unites containers in order of their keys; the last of a batch waits for the next, which may go on with it."""
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            number, names = _numbered(both, keys)
+            lengths = np.diff(both.column("s").offsets.to_numpy())
+            out = made(np.repeat(number, lengths), names, *(both.column(c).flatten().to_numpy() for c in ("s", "e", "n")))
+            last = int(number[-1])
+            held = out.slice(last, 1)
+            rest = [out.slice(0, last), out.slice(last + 1)]
+            yield from (r for r in rest if r.num_rows)
+        if held is not None:
+            yield held
+
+    partial = given.mapInArrow(build, schema)
+    return partial.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(merge, schema)
 
 
 def _periods(intervals: DataFrame, names: list[str]) -> DataFrame:
     """Periods (s, e, n members, next_s) of the valid ``intervals`` (s, e) of each entity."""
     shard = [*names, "shard"]
-    containers = _pieces(intervals, names).groupBy(*shard, "s").agg(F.max("e").alias("e"), F.sum("n").alias("n"))
-    runs = _islands(containers, shard).groupBy(*shard, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
-    w = Window.partitionBy(*shard).orderBy("s")
-    runs = runs.select(
-        *shard, "s", "e", "n", F.lead("s").over(w).alias("next_s"), F.lag("e").over(w).isNull().alias("is_first")
-    )
-    runs = runs.withColumn("inside", ~F.col("is_first") & F.col("next_s").isNotNull())
-    within = F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).over(Window.partitionBy(*shard))
-    runs = runs.withColumn("n_inside", within)
+    containers = Workspace(intervals.sparkSession).write(_containers(_pieces(intervals, names), shard), "containers")
+    # set runs between others of the shard, each with the start of the next: what lies between is a clear run
+    middle = F.expr("IF(size(s) > 2, transform(sequence(1, size(s) - 2), i -> named_struct('s', s[i], 'e', e[i], 'n', n[i], 'next_s', s[i + 1])), array())")
+    inner = containers.filter("size(s) > 2").select(*shard, F.inline(middle))
     # Only the first and the last run of a shard can go on across a border. A shard that an earlier whole run covers
     # has no runs of its own: those inside it fall to that run, with their members.
-    edge = _islands(runs.filter("NOT inside"), names, keep=True)
+    ends = F.expr(
+        """filter(array(named_struct('s', s[0], 'e', e[0], 'n', n[0], 'next_s', IF(size(s) > 1, s[1], NULL), 'is_first', true,
+                'n_inside', IF(size(s) > 2, aggregate(slice(n, 2, size(n) - 2), 0L, (a, x) -> a + x), 0L)),
+            IF(size(s) > 1, named_struct('s', s[size(s) - 1], 'e', e[size(s) - 1], 'n', n[size(s) - 1], 'next_s', CAST(NULL AS bigint), 'is_first', false, 'n_inside', 0L), NULL)), x -> x IS NOT NULL)"""
+    )
+    w = Window.partitionBy(*names).orderBy("s")
+    edge = containers.select(*shard, F.inline(ends)).withColumn("upto", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    edge = edge.withColumn("run", F.sum(F.expr("IF(upto IS NULL OR s > upto, 1, 0)")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("covered", F.expr(f"is_first AND coalesce(upto, s) >= (shard + 1) * {SHARD}L"))
-    inner = runs.filter("inside").join(edge.filter("covered").select(*shard), shard, "left_anti").select(*names, "s", "e", "n", "next_s")
+    inner = inner.join(edge.filter("covered").select(*shard), shard, "left_anti").select(*names, "s", "e", "n", "next_s")
     edge = edge.groupBy(*names, "run").agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.sum(F.expr("n + IF(covered, n_inside, 0L)")).alias("n"), F.max(F.struct("s", "next_s")).alias("tail")
     )

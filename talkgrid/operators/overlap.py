@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrid.operators.intervals import self_overlaps
-from talkgrid.operators.sequences import with_last_known, with_previous
+from talkgrid.operators.sequences import joined_rows, part
 
 #: Least overlap that counts, longest distance of two starts of an interruption, and width of a join bucket, in ms.
 LEAST_OVERLAP, INTERRUPTION_GAP, BUCKET = 50, 150, 10_000
@@ -66,8 +66,11 @@ def same_speaker_merge(segments: DataFrame, gap: int) -> DataFrame:
     Segments that overlap their predecessor aren't merged, and the end may lie before an earlier one. Runs are
     numbered by blocks of time, so a long file is spread over its blocks.
     """
-    rows = with_previous(segments.select("file_id", "idx", "speaker_id", "s", "e"), ["file_id"], ["s", "idx"], ["speaker_id", "e"])
-    fresh = F.expr(f"NOT coalesce(prev_speaker_id = speaker_id AND s - prev_e BETWEEN 0 AND {gap}, false)")
-    rows = with_last_known(rows, ["file_id"], ["s", "idx"], F.when(fresh, F.struct("s", "idx")), "run")
-    out = rows.groupBy("file_id", "run").agg(F.first("speaker_id").alias("speaker_id"), F.min("s").alias("s"), F.max(F.struct("s", "idx", "e")).alias("tail"), F.count(F.lit(1)).alias("members"))
+    rows = segments.select("file_id", "idx", "speaker_id", "s", "e")
+    parts = {
+        "speaker_id": (F.first("speaker_id"), F.first(part("speaker_id"))), "s": (F.min("s"), F.min(part("s"))),
+        "tail": (F.max(F.struct("s", "idx", "e")), F.max(part("tail"))), "members": (F.count(F.lit(1)), F.sum(part("members"))),
+    }
+    breaks = f"NOT coalesce(prev_speaker_id = speaker_id AND s - prev_e BETWEEN 0 AND {gap}, false)"
+    out = joined_rows(rows, ["file_id"], ["s", "idx"], ["speaker_id", "s", "e"], breaks, parts)
     return out.select("file_id", "speaker_id", "s", F.col("tail.e").alias("e"), "members")

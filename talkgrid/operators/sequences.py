@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,16 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
     group is spread over its blocks; the last row of a block is handed to the next one that has rows. ``order`` must
     tell the rows of a group apart; it must not be null, and values may be.
     """
-    at = F.expr(f"floor({order[0]} / {float(block)}D)")
-    df = df.withColumn("__block", at)
-    place = [*keys, "__block"]
+    rows = df.withColumn("__block", F.expr(f"floor({order[0]} / {float(block)}D)"))
     row = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    inside = Window.partitionBy(*place).orderBy(*order)
-    marked = df.withColumn("__prev", F.lag(row).over(inside))
-    last = df.groupBy(*place).agg(F.max(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], row.alias("row"))).alias("__last"))
-    carried = last.select(*place, F.lag("__last.row").over(Window.partitionBy(*keys).orderBy("__block")).alias("__carried"))
-    both = marked.join(carried, place, "left").withColumn("__prev", F.coalesce("__prev", "__carried"))
-    named = [F.col(f"__prev.v{i}").alias(f"prev_{v}") for i, v in enumerate(values)]
-    return both.select(*[c for c in df.columns if c != "__block"], *named)
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order)
+    rows = rows.withColumn("__prev", F.lag(row).over(inside)).withColumn("__next", F.lead(F.lit(1)).over(inside))
+    # The first and last rows of all blocks form a group of their own, two a block; the other rows stay in their blocks.
+    edge = F.col("__prev").isNull() | F.col("__next").isNull()
+    rows = rows.withColumn("__edge", F.when(~edge, F.col("__block")))
+    across = Window.partitionBy(*keys, "__edge").orderBy(*order)
+    rows = rows.withColumn("__prev", F.coalesce("__prev", F.lag(row).over(across)))
+    return rows.select(*df.columns, *[F.col(f"__prev.v{i}").alias(f"prev_{v}") for i, v in enumerate(values)])
 
 
 def with_last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: int = BLOCK) -> DataFrame:
@@ -78,24 +79,90 @@ def gap_merge(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return merged.select(*keys, F.expr("s div 2").alias("s"), F.expr(f"(e - {2 * gap + 1}) div 2").alias("e"), F.col("n").alias("members"))
 
 
+def _joined_runs(parts: DataFrame, keys: list[str], fresh: Column, values: list[Column], order: list[str]) -> DataFrame:
+    """Parts of runs (``__group`` is null where the run may go on in another block) put together: ``keys`` and ``values``.
+
+    ``fresh`` tells whether a part begins a run. Parts that can't go on are runs already, and stay in their blocks.
+    """
+    w = Window.partitionBy(*keys, "__group").orderBy(*order)
+    number = F.sum(F.when(F.col("__fresh"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumn("__fresh", fresh).withColumn("__number", number)
+    return rows.groupBy(*keys, "__group", "__number").agg(*values).drop("__group", "__number")
+
+
 def hysteresis(frames: DataFrame, keys: list[str], enter: float, leave: float, block: int = 8192) -> DataFrame:
     """Events of each series: a run starts at a score >= ``enter`` and lasts to the first <= ``leave``, that one included.
 
     ``frames`` has ``keys``, ``frame`` (bigint, distinct in a series), ``t0``, ``t1`` and ``score``; null scores keep
     the state. ``enter`` must be above ``leave``. Result: ``keys``, ``first`` and ``last`` frame, ``s`` (first
-    ``t0``), ``e`` (last ``t1``), ``peak``, ``frames``. A series is worked on in blocks of frames, so one of any
-    length is spread.
+    ``t0``), ``e`` (last ``t1``), ``peak``, ``frames``.
+
+    One pass: in blocks of frames, so one of any length is spread. In a block, rows are aggregated to parts of runs: what
+    comes before the first row that sets the state, and runs. Only the first two and the last part of a block depend on
+    others; they are put in order over the blocks, three a block, and joined there.
     """
     if not enter > leave:
         raise ValueError("enter must be above leave")
     state = F.when(F.col("score") >= enter, 1).when(F.col("score") <= leave, 0)
-    rows = with_last_known(frames.select(*keys, "frame", "t0", "t1", "score"), keys, ["frame"], state, "on", block)
-    rows = with_previous(rows.withColumn("on", F.coalesce("on", F.lit(0))), keys, ["frame"], ["on"], block)
-    rows = rows.withColumn("was", F.coalesce("prev_on", F.lit(0))).filter("on = 1 OR was = 1")
-    rows = with_last_known(rows, keys, ["frame"], F.when(F.expr("on = 1 AND was = 0"), F.col("frame")), "run", block)
-    return rows.groupBy(*keys, "run").agg(
-        F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t0").alias("s"), F.max("t1").alias("e"), F.max("score").alias("peak"), F.count(F.lit(1)).alias("frames")
-    ).drop("run")
+    rows = frames.select(*keys, "frame", "t0", "t1", "score", F.expr(f"floor(frame / {float(block)}D)").alias("__block"), state.alias("__set"))
+    w = Window.partitionBy(*keys, "__block").orderBy("frame")
+    known = F.last("__set", ignorenulls=True)
+    rows = rows.withColumn("__on", known.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__was", known.over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.expr("__set = 1 AND coalesce(__was, 0) = 0")
+    rows = rows.withColumn("__run", F.last(F.when(opens, F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # head rows (no run, nothing known before) go to a run of an earlier block if it is still on
+    rows = rows.filter("(__run IS NULL AND __was IS NULL) OR __on = 1 OR __was = 1")
+    parts = rows.groupBy(*keys, "__block", "__run").agg(
+        F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t0").alias("s"), F.max("t1").alias("e"), F.max("score").alias("peak"), F.count(F.lit(1)).alias("frames"),
+        F.bool_or(F.expr("__on IS NOT NULL AND __on = 0")).alias("__closed"), F.bool_or(F.expr("__set = 1 AND __was IS NULL")).alias("__joins"),
+    )
+    b = Window.partitionBy(*keys, "__block").orderBy("first")
+    # the last part of a block tells the state that the next one begins with
+    edge = F.col("__run").isNull() | F.coalesce("__joins", F.lit(False)) | F.lead(F.lit(1)).over(b).isNull()
+    parts = parts.withColumn("__group", F.when(~edge, F.col("__block")))
+    after = F.when(F.coalesce("__closed", F.lit(False)), 0).when(F.col("__run").isNotNull(), 1)
+    before = Window.partitionBy(*keys, "__group").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.last(after, ignorenulls=True).over(before), F.lit(0))).filter("__run IS NOT NULL OR __before = 1")
+    fresh = F.expr("__run IS NOT NULL AND NOT (coalesce(__joins, false) AND __before = 1)")
+    return _joined_runs(parts, keys, fresh, [F.min("first").alias("first"), F.max("last").alias("last"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("peak").alias("peak"), F.sum("frames").alias("frames")], ["first"])
+
+
+def joined_rows(df: DataFrame, keys: list[str], order: list[str], carried: list[str], breaks: str, parts: dict[str, tuple[Column, Column]], block: int = BLOCK) -> DataFrame:
+    """Runs of neighbouring rows of each group by ``order``: ``keys`` and the aggregates ``parts``.
+
+    ``breaks`` is SQL that tells from ``carried`` columns, as they are and as ``prev_<name>`` of the row before, whether a
+    row begins a run (null: it does not). ``parts`` are, by name, an aggregate of rows and one of such aggregates. One
+    pass, in blocks of ``order[0]``: only the first and the last run of a block can go on in another, and these alone are
+    put in order over the blocks.
+    """
+    rows = df.withColumn("__block", F.expr(f"floor({order[0]} / {float(block)}D)"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order)
+    row = F.struct(*carried)
+    rows = rows.withColumn("__prev", F.lag(row).over(inside)).withColumns({f"prev_{c}": F.col(f"__prev.{c}") for c in carried})
+    rows = rows.withColumn("__fresh", F.when(F.col("__prev").isNull() | F.coalesce(F.expr(breaks), F.lit(False)), 1).otherwise(0))
+    rows = rows.withColumn("__run", F.sum("__fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.struct(F.struct(*order).alias("at"), row.alias("row"))
+    found = rows.groupBy(*keys, "__block", "__run").agg(*[first.alias(name) for name, (first, _) in parts.items()], F.min(here).alias("__head"), F.max(here).alias("__tail"))
+    is_last = F.lead(F.lit(1)).over(Window.partitionBy(*keys, "__block").orderBy("__run")).isNull()
+    found = found.withColumn("__group", F.when(~(is_last | (F.col("__run") == 1)), F.col("__block"))).withColumn("__at", F.col("__head.at"))
+    found = found.withColumn("__before", F.lag("__tail.row").over(Window.partitionBy(*keys, "__group").orderBy("__at")))
+    # a run that isn't the first of its block is apart from the one before; the first is measured against it
+    given = [c for c in found.columns if c not in carried and c not in parts]
+    kept = [F.col(name).alias(f"__part_{name}") for name in parts]
+    found = found.select(*given, *kept, *[F.col(f"__head.row.{c}").alias(f"__row_{c}") for c in carried], *[F.col(f"__before.{c}").alias(f"__prev_{c}") for c in carried])
+    names = {c: f"__row_{c}" for c in carried} | {f"prev_{c}": f"__prev_{c}" for c in carried}
+    fresh = F.col("__before").isNull() | (F.col("__run") > 1) | F.coalesce(F.expr(_renamed(breaks, names)), F.lit(False))
+    values = [second.alias(name) for name, (_, second) in parts.items()]
+    return _joined_runs(found, keys, fresh, values, ["__at"])
+
+
+def _renamed(sql: str, names: dict[str, str]) -> str:
+    return re.sub(r"\b\w+\b", lambda m: names.get(m[0], m[0]), sql)
+
+
+def part(name: str) -> Column:
+    """What ``joined_rows`` has aggregated under a name, to be aggregated again."""
+    return F.col(f"__part_{name}")
 
 
 def merge_runs(runs: DataFrame, keys: list[str], start: str, end: str, gap: float, block: int = BLOCK) -> DataFrame:
@@ -103,12 +170,9 @@ def merge_runs(runs: DataFrame, keys: list[str], start: str, end: str, gap: floa
 
     Result: ``keys``, ``first``, ``last``, ``s``, ``e``, ``peak``, ``runs``.
     """
-    rows = with_previous(runs, keys, [start], [end], block)
-    fresh = F.when(F.col(f"prev_{end}").isNull() | (F.col(start) - F.col(f"prev_{end}") > gap), F.col(start))
-    rows = with_last_known(rows, keys, [start], fresh, "run", block)
-    return rows.groupBy(*keys, "run").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("peak").alias("peak"), F.count(F.lit(1)).alias("runs")
-    ).drop("run")
+    parts = {"first": F.min, "last": F.max, "s": F.min, "e": F.max, "peak": F.max}
+    both = {name: (f(name), f(part(name))) for name, f in parts.items()} | {"runs": (F.count(F.lit(1)), F.sum(part("runs")))}
+    return joined_rows(runs, keys, [start], list(dict.fromkeys([start, end])), f"{start} - prev_{end} > {float(gap)!r}D", both, block)
 
 
 def median_filter(frames: DataFrame, keys: list[str], k: int, block: int = 8192) -> DataFrame:

@@ -11,6 +11,7 @@ from talkgrid.operators import rules as U
 from talkgrid.plans.conversation import FLOW, rounded
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import SEG, segments
+from talkgrid.storage import stored
 
 R = Registry()
 _RISKS = f"""{SEG}, vr AS (SELECT file_id, idx, speaker_id, 'vq_jitter_pct' AS metric, vq_jitter_pct AS value, 1.0::DOUBLE AS threshold FROM seg WHERE vq_jitter_pct > 1.0
@@ -185,5 +186,5 @@ def scores_top3(spark: SparkSession, sf: str) -> DataFrame:
 SELECT file_id, (unnest(range(len(l))))::INTEGER AS n, unnest(l) AS sentence FROM l"""
 )
 def narrative_insights(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segments(spark, sf, ["text"])
+    rows = stored(segments(spark, sf, ["text"]))
     return U.insights(C.conversation_metrics(rows).join(C.topic_coherence(rows), "file_id"))

@@ -12,6 +12,7 @@ from talkgrid.operators.sequences import median_filter
 from talkgrid.plans.conversation import rounded
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import EV, SEG, events, segments
+from talkgrid.storage import Workspace
 
 R = Registry()
 ENTER, LEAVE = 0.6, 0.45
@@ -55,10 +56,10 @@ def sed_events(spark: SparkSession, sf: str) -> DataFrame:
 SELECT file_id, label, frame, score, smooth FROM x"""
 )
 def median_filter_frames(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+    from talkgrid.operators.sequences import with_position
 
-    frames = D.to_frames(events(spark, sf))
-    dense = frames.withColumn("frame", F.row_number().over(Window.partitionBy("file_id", "label").orderBy("frame")).cast("bigint"))
+    frames = Workspace(spark).write(D.to_frames(events(spark, sf)).select("file_id", "label", "frame", "score"), "frames")
+    dense = with_position(frames, ["file_id", "label"], ["frame"], 8192).drop("frame").withColumn("frame", F.col("pos") + 1)
     return median_filter(dense.select("file_id", "label", "frame", "score"), ["file_id", "label"], 5)
 
 

@@ -12,6 +12,7 @@ from talkgrid.operators.latest import squeezed
 from talkgrid.plans.conversation import _FOLD, rounded
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import SEG, segments
+from talkgrid.storage import stored
 
 R = Registry()
 _COLUMNS = ["speaker_name", "text", "words", "wpm", "pause_ratio", "pause_count", "emotion_top", "voice_quality_hint", *S.MEDIANS]
@@ -46,7 +47,8 @@ SELECT file_id, speaker_id, coalesce(speaker_name, '') AS speaker_name, round(d
 FROM a LEFT JOIN mrf USING (file_id, speaker_id) LEFT JOIN n USING (file_id, speaker_id) LEFT JOIN ve USING (file_id, speaker_id) LEFT JOIN vh USING (file_id, speaker_id)"""
 )
 def speaker_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    df = S.rollup(segments(spark, sf, _COLUMNS), _fold(spark, sf))
+    rows = stored(segments(spark, sf, _COLUMNS))
+    df = S.rollup(rows, O.interruption_fold(O.pairs(rows)))
     return rounded(df, *[c for c, t in df.dtypes if t == "double"])
 
 

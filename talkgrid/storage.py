@@ -56,6 +56,11 @@ class Workspace:
         delete(self.spark, f"{self.root}/{name}")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, for rows that several operators read: they are made once."""
+    return Workspace(df.sparkSession).write(df, "rows")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, root in _LIVE:

@@ -171,6 +171,37 @@ def test_renaming_evidence_with_repeated_keys(spark):
     assert len(drift.drift_report(other).collect()) == 2
 
 
+def test_run_containers_unite_to_the_set_units():
+    import numpy as np
+
+    rnd = random.Random(5)
+    spans = [(g, a, a + rnd.randrange(1, 9), 1) for g in range(4) for a in (rnd.randrange(200) for _ in range(30))]
+    group, s, e, n = coverage.unite(*map(np.array, zip(*spans)))
+    for g in range(4):
+        bits = {t for k, a, b, _ in spans if k == g for t in range(a, b)}
+        runs = [(int(a), int(b)) for k, a, b in zip(group, s, e) if k == g]
+        assert {t for a, b in runs for t in range(a, b)} == bits and all(b < a for (_, b), (a, _) in zip(runs, runs[1:]))
+    assert n.sum() == len(spans)
+    # united in two parts, and their containers again: the same
+    half = [coverage.unite(*map(np.array, zip(*part))) for part in (spans[::2], spans[1::2])]
+    assert all((x == y).all() for x, y in zip(coverage.unite(*map(np.concatenate, zip(*half))), (group, s, e, n)))
+
+
+@pytest.mark.parametrize("rows", [3, 10_000])
+def test_containers_of_batches_of_any_size(spark, rows):
+    """Few rows a batch: containers lie across batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    rnd = random.Random(6)
+    data = [(rnd.choice("abc"), rnd.randrange(3), a, a + rnd.randrange(1, 60)) for a in (rnd.randrange(3000) for _ in range(400))]
+    df = spark.createDataFrame(data, "k string, shard bigint, s bigint, e bigint").withColumn("n", F.lit(1).cast("bigint"))
+    found = {(r.k, r.shard): (r.s, r.e, r.n) for r in coverage._containers(df.repartition(5), ["k", "shard"]).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 9
+    for key, (s, e, n) in found.items():
+        bits = {t for k, j, a, b in data if (k, j) == key for t in range(a, b)}
+        assert {t for a, b in zip(s, e) for t in range(a, b)} == bits and all(b < a for b, a in zip(e, s[1:])) and sum(n) == sum((k, j) == key for k, j, _, _ in data)
+
+
 @pytest.mark.parametrize("block", [50, 10**9])
 def test_previous_and_last_known(spark, block):
     rnd = random.Random(3)
