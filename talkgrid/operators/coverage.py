@@ -109,7 +109,7 @@ def _containers(pieces: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            both = batch if held is None else pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(held.columns, batch.columns)], batch.schema.names)
             number, names = _numbered(both, keys)
             lengths = np.diff(both.column("s").offsets.to_numpy())
             out = made(np.repeat(number, lengths), names, *(both.column(c).flatten().to_numpy() for c in ("s", "e", "n")))
