@@ -6,8 +6,9 @@ ends and large in the middle, and there are at most ``delta / 2 + 1``. Digests o
 clustering their centroids again. A second pass counts the values below each estimate and so certifies its error in
 rank.
 
-Digests are built in parts of bounded size, which are merged in a tree: neither a hot group nor its centroids ever
-have to be in one task.
+A digest is built of each part (a file or a day, which are hashed into smaller ones where there are very many rows) and
+parts are always merged, in a tree: neither a hot group nor its centroids ever have to be in one task. Groups whose
+certified error is above the bound are digested again, finer.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.operators.skew import join_groups
+from talkgrid.operators.skew import heavy_groups, join_groups
+from talkgrid.storage import Workspace
 
 #: Fineness of a digest. The rank error is about 1 / delta in the middle and far less at the ends.
 DELTA = 400
 #: Values in a part of a group, and digests merged at once.
 PART_ROWS, FAN_IN = 1_000_000, 64
+#: Certified rank error that is accepted, and how much finer and how often groups above it are digested again.
+MOST_ERROR, FINER, ROUNDS = 0.005, 8, 3
 
 
 def _cluster(q: Column, delta: int) -> Column:
@@ -55,14 +59,21 @@ def merge_digests(digests: DataFrame, keys: list[str], delta: int = DELTA) -> Da
     )
 
 
-def digest_groups(values: DataFrame, keys: list[str], value: str, ident: str, total: int, delta: int = DELTA) -> DataFrame:
-    """A digest of each group of ``values``, of which there are ``total``: parts by a hash of ``ident``, merged in a tree."""
-    parts = max(1, -(-total // PART_ROWS))
-    digests = build_digests(values.withColumn("__part", F.pmod(F.xxhash64(ident), F.lit(parts))), keys, value, "__part", delta)
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        digests = merge_digests(digests.withColumn("__part", F.expr(f"__part % {parts}")), [*keys, "__part"], delta)
-    return digests.drop("__part")
+def digest_groups(values: DataFrame, keys: list[str], value: str, ident: str, part: str, total: int, delta: int = DELTA) -> DataFrame:
+    """A digest of each group of ``values``, of which there are ``total``, merged from digests of its parts.
+
+    ``part`` is a column such as the day or the file (null is a part too). Where there are more than ``PART_ROWS`` values, each
+    part is cut further by a hash of ``ident``. Parts are merged ``FAN_IN`` at once, level by level, in one level at least.
+    """
+    salts = max(1, -(-total // PART_ROWS))
+    number = F.xxhash64(part, F.pmod(F.xxhash64(ident), F.lit(salts)))
+    digests = build_digests(values.withColumn("__part", number), keys, value, "__part", delta)
+    parts = salts * values.select(part).distinct().count()
+    while True:
+        parts = max(1, -(-parts // FAN_IN))
+        digests = merge_digests(digests.withColumn("__part", F.pmod("__part", F.lit(parts))), [*keys, "__part"], delta)
+        if parts == 1:
+            return digests.drop("__part")
 
 
 def percentiles(digests: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
@@ -106,3 +117,24 @@ def certified(values: DataFrame, estimates: DataFrame, keys: list[str], value: s
     miss = [F.expr(f"greatest(0.0D, (__b{j} - 1 - {float(p)!r}D * (n - 1)) / n, ({float(p)!r}D * (n - 1) - __u{j}) / n)") for j, p in enumerate(ps)]
     error = F.greatest(*miss) if len(miss) > 1 else miss[0]
     return counted.select(*keys, "n", *[f"p{j}" for j in range(len(ps))], error.alias("rank_error"))
+
+
+def certified_percentiles(values: DataFrame, keys: list[str], value: str, ident: str, part: str, ps: list[float], space: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """``keys``, ``n``, ``p0``, ``p1``, ... and the ``rank_error`` of the estimates of each group, as a written table; and its heavy groups.
+
+    ``values`` is a written table. Groups with an error above ``MOST_ERROR`` are digested again with ``FINER`` times the
+    fineness, up to ``ROUNDS`` times; what error is left then is that in the result. No values give no rows.
+    """
+    total = values.count()
+    heavy = heavy_groups(values, keys, total, space)
+    delta, done, todo = DELTA, None, values
+    for step in range(ROUNDS + 1):
+        estimates = percentiles(digest_groups(todo, keys, value, ident, part, total, delta), keys, ps)
+        found = space.write(certified(todo, estimates, keys, value, ps, heavy), f"certified{step}")
+        poor = F.col("rank_error") > MOST_ERROR
+        if step == ROUNDS or not found.filter(poor).limit(1).count():
+            return (found if done is None else done.unionByName(found)), heavy
+        done = found.filter(~poor) if done is None else done.unionByName(found.filter(~poor))
+        # only rows of the groups that need it; they lie where they lay
+        todo, delta = space.write(join_groups(todo, found.filter(poor).select(*keys), keys, heavy), f"again{step}"), delta * FINER
+    raise AssertionError

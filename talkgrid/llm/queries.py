@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrid.llm.bpe import count_tokens, decode_ids, encode_texts
-from talkgrid.llm.digest import certified, digest_groups, percentiles
+from talkgrid.llm.digest import certified_percentiles
 from talkgrid.llm.mixing import mix_sources
 from talkgrid.llm.nearest import nearest_join
 from talkgrid.llm.quality import text_statistics
 from talkgrid.llm.topn import top_n_per_group
 from talkgrid.operators.latest import finite, latest_rows, squeezed, whole_ms
-from talkgrid.operators.skew import heavy_groups, join_groups
+from talkgrid.operators.skew import join_groups
 from talkgrid.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,23 +67,24 @@ PERCENTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 def _measures(spark: SparkSession, sf: str):
-    """Values of the measures by speaker, written once; how many; the speakers with a large part of them; the percentiles."""
-    rows = latest_rows(spark.read.parquet(f"{sf}/segments.parquet"), "seg_id", "ingested_at", ["speaker_id", *MEASURES])
+    """Values of the measures by speaker, written once; the speakers with a large part of them; the certified percentiles.
+
+    Digests are built by the day on which a segment came in, and merged.
+    """
+    rows = latest_rows(spark.read.parquet(f"{sf}/segments.parquet"), "seg_id", "ingested_at", ["speaker_id", *MEASURES, "ingested_at"])
     pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("field_name"), F.col(m).alias("x")) for m in MEASURES]))
-    values = rows.filter(squeezed(F.col("speaker_id")) != "").select("seg_id", "speaker_id", pairs)
+    values = rows.filter(squeezed(F.col("speaker_id")) != "").select("seg_id", "speaker_id", F.to_date("ingested_at").alias("day"), pairs)
     space, keys = Workspace(spark), ["speaker_id", "field_name"]
     values = space.write(values.filter(finite(F.col("x")) & (F.col("x") > 0)), "values")
-    total = values.count()
-    digests = digest_groups(values, keys, "x", "seg_id", total)
-    return values, heavy_groups(values, keys, total, space), percentiles(digests, keys, PERCENTILES), keys
+    found, heavy = certified_percentiles(values, keys, "x", "seg_id", "day", PERCENTILES, space)
+    return values, heavy, found, keys
 
 
 @query
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    values, heavy, found, keys = _measures(spark, sf)
-    return certified(values, found, keys, "x", PERCENTILES, heavy).select(
-        *keys, "n", *[F.col(f"p{j}").alias(f"p{round(p * 100)}") for j, p in enumerate(PERCENTILES)], "rank_error"
-    )
+    """The percentiles of each speaker, with the certified error of their ranks as a share of the values."""
+    _, _, found, keys = _measures(spark, sf)
+    return found.select(*keys, "n", *[F.col(f"p{j}").alias(f"p{round(p * 100)}") for j, p in enumerate(PERCENTILES)], "rank_error")
 
 
 @query

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkgrid.llm import digest
 from talkgrid.llm.digest import DELTA, build_digests, certified, digest_groups, merge_digests, percentiles
 from talkgrid.llm.nearest import nearest_join, neighbour_intervals
 from talkgrid.llm.topn import double_code, top_n_per_group
@@ -104,7 +105,7 @@ def test_percentiles_are_near_and_certified(spark):
     data = [("big", rnd.lognormvariate(0, 2), i) for i in range(20_000)] + [("two", 1.0, 30_001), ("two", 3.0, 30_002), ("one", 5.0, 30_003)] + [("same", 2.0, 40_000 + i) for i in range(500)]
     df = spark.createDataFrame(data, "k string, v double, id bigint").withColumn("hi", F.lit(1))
     ps = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
-    estimates = percentiles(digest_groups(df, ["k"], "v", "id", len(data)), ["k"], ps)
+    estimates = percentiles(digest_groups(df, ["k"], "v", "id", "hi", len(data)), ["k"], ps)
     got = {r.k: r for r in certified(df, estimates, ["k"], "v", ps, heavy_groups(df, ["k"], len(data), Workspace(spark))).collect()}
     assert got["big"].rank_error < 1 / DELTA and got["same"].p2 == 2.0 and got["same"].rank_error == 0.0
     assert (got["two"].p0, got["two"].p2, got["two"].p5, got["one"].p2) == (1.0, 2.0, 3.0, 5.0)
@@ -112,6 +113,32 @@ def test_percentiles_are_near_and_certified(spark):
     assert got["big"].p0 == values[0] and got["big"].p5 == values[-1]
 
 
+def test_parts_are_always_merged(spark, monkeypatch):
+    merged = []
+    monkeypatch.setattr(digest, "merge_digests", lambda d, keys, delta: merged.append(keys) or merge_digests(d, keys, delta))
+    df = spark.createDataFrame([("a", float(i), i, day) for i in range(50) for day in (1, None)], "k string, v double, id bigint, day int")
+    r = percentiles(digest_groups(df, ["k"], "v", "id", "day", 100), ["k"], [0.5]).first()
+    assert len(merged) == 1 and (r.n, r.p0) == (100, pytest.approx(24.5))
+    monkeypatch.setattr(digest, "PART_ROWS", 1)
+    monkeypatch.setattr(digest, "FAN_IN", 8)
+    r = percentiles(digest_groups(df, ["k"], "v", "id", "day", 100), ["k"], [0.5]).first()
+    assert len(merged) == 1 + 3 and (r.n, r.p0) == (100, pytest.approx(24.5))  # 200 parts, 25, 4, 1
+
+
+def test_groups_with_too_large_an_error_are_digested_again(spark, monkeypatch):
+    monkeypatch.setattr(digest, "DELTA", 8)
+    rnd = random.Random(8)
+    data = [(k, rnd.lognormvariate(0, 3), i, i % 5) for k, n in (("big", 9000), ("small", 3)) for i in range(n)]
+    space = Workspace(spark)
+    df = space.write(spark.createDataFrame(data, "k string, v double, id bigint, day int"), "values")
+    rough = percentiles(digest_groups(df, ["k"], "v", "id", "day", len(data), 8), ["k"], [0.1, 0.5, 0.9])
+    assert certified(df, rough, ["k"], "v", [0.1, 0.5, 0.9], None).agg(F.max("rank_error")).first()[0] > digest.MOST_ERROR
+    found, _ = digest.certified_percentiles(df, ["k"], "v", "id", "day", [0.1, 0.5, 0.9], space)
+    assert {r.k: r.n for r in found.collect()} == {"big": 9000, "small": 3} and found.agg(F.max("rank_error")).first()[0] <= digest.MOST_ERROR
+    empty, heavy = digest.certified_percentiles(space.write(df.limit(0), "none"), ["k"], "v", "id", "day", [0.5], space)
+    assert empty.collect() == [] and heavy is None
+
+
 def test_digests_of_days_can_be_joined(spark):
     df = spark.range(30_000).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 30_000).cast("double").alias("v"), (F.col("id") % 7).alias("day"))
     daily = build_digests(df, ["k"], "v", "day")
