@@ -5,16 +5,20 @@ coverage by the dominant n-gram); prose is told from lists, tables, boilerplate
 
 Each line is a sentence-like unit, a list item, a table row or without words; wrapped lines are joined first. A
 document whose characters are mostly in list items and table rows isn't prose. What looks like sentences must also be
-language: its letter pairs must be probable under a fixed table, or its vowels and consonants alternate as they do in
-languages that the table doesn't know. Random or scrambled letters do neither.
+language: a public tokenizer for many languages, which was made of real text, cuts real words into clearly fewer
+tokens than the same letters in another order. Random or scrambled letters need as many either way, in any script.
 
 Everything is a function of one text, in linear time: a verdict hangs on no other row, and no row leaves its partition.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
+import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,24 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from talkgrid.llm.letters import PAIRS
+from talkgrid.llm.bpe import FOLDER, PATTERN
 
-#: Letters of the pair model: a to z, the accented letters of Latin-1, and one place for all else.
-_ALPHABET = [*map(chr, range(0x61, 0x7B)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
-LETTERS = len(_ALPHABET) + 1
+#: The public vocabulary by which words are told from letters in another order, how many other orders are tried, and the
+#: least letters of a word that counts.
+VOCABULARY, SHUFFLES, LEAST_WORD = "byte_bpe_multi_50k.tiktoken", 3, 3
+#: A script counts if the vocabulary has so many tokens of two or more of its letters.
+LEAST_KNOWN = 60
+#: Words of which a worker remembers the tokens; no result hangs on it.
+REMEMBERED = 300_000
 
 #: Limits of the rules. A prose document has at least this share of its characters in sentences,
 LEAST_PROSE = 0.5
 #: or, where it has ``FRAME`` times as many items and rows as sentences (a list in a frame of a sentence or two), this;
 FRAMED_PROSE, FRAME = 0.75, 3
-#: this share of letters among its signs, words of this mean length, and this score of its pairs (less by the second
-#: value over their number) or this alternation (more by the second value over the root of its number of pairs);
-LEAST_LETTERS, WORD_LENGTH, LEAST_PAIRS, LEAST_ALTERNATION = 0.6, (2.2, 20.0), (-1.75, 12.0), (0.15, 1.0)
+#: this share of letters among its signs, words of this mean length, and at most this share of the tokens of its letters
+#: in another order (less by the second value over the number of words);
+LEAST_LETTERS, WORD_LENGTH, MOST_TOKENS = 0.6, (2.2, 20.0), (0.91, 0.3)
 #: at most this share of common words (more is function words in no order), and of the most frequent phrase of up to
 #: ``PHRASE`` words; both only count from so many words on.
 MOST_COMMON, MOST_REPEATED, PHRASE, LEAST_WORDS = 0.85, 0.6, 4, 12
-#: From so many pairs on they count. A text whose letters are mostly of this block is an encoded one.
-LEAST_PAIR_COUNT, ENCODED = 24, (0x100, 0x250)
+#: From so many words on the share of tokens counts. A text whose letters are mostly of this block is an encoded one.
+LEAST_JUDGED, ENCODED = 5, (0x100, 0x250)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _TOKEN = re.compile(r"\w+(?:['’.,:\-]\w+)*")
@@ -70,23 +78,19 @@ _TOP = 0x20000
 _LETTER, _DIGIT, _BLANK, _ENCODED, _DENSE = 1, 2, 4, 8, 16
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the place in the alphabet (of capitals too), and the kinds of a sign as bits."""
-    place, kind = np.zeros(_TOP + 1, np.int32), np.zeros(_TOP + 1, np.uint8)
-    for i, c in enumerate(_ALPHABET):
-        place[ord(c)] = i + 1
-        if len(c.upper()) == 1:
-            place[ord(c.upper())] = i + 1
+def _tables() -> np.ndarray:
+    """By code point: the kinds of a sign as bits."""
+    kind = np.zeros(_TOP + 1, np.uint8)
     for p, c in enumerate(map(chr, range(_TOP))):
         kind[p] = _LETTER * c.isalpha() | _DIGIT * (c.isalnum() and not c.isalpha()) | _BLANK * c.isspace()
     kind[ENCODED[0] : ENCODED[1]] |= _ENCODED
     for first, last in UNSPACED:
         kind[first : last + 1] |= _DENSE
     kind[_TOP] = _LETTER | _DENSE
-    return place, kind
+    return kind
 
 
-_PLACE, _KIND = _tables()
+_KIND = _tables()
 #: The kinds with a bit.
 _HAS = {bit: np.array([k for k in range(32) if k & bit]) for bit in (_LETTER, _DIGIT, _BLANK, _ENCODED, _DENSE)}
 
@@ -95,37 +99,54 @@ def code_points(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), _TOP)
 
 
-def letter_pairs(points: np.ndarray) -> np.ndarray:
-    """Numbers of the letter pairs of a text, without regard to case; pairs without a letter of the alphabet are left out."""
-    places = _PLACE[points]
-    pairs = places[:-1] * LETTERS + places[1:]
-    return pairs[pairs > 0]
-
-
-#: By place in the alphabet: 1 for a consonant, 2 for a vowel.
-_SOUND = np.array([0, *(1 + (unicodedata.normalize("NFD", c)[0] in "aeiouyæø") for c in _ALPHABET)])
-
-
-def pair_score(pairs: np.ndarray) -> float:
-    """Mean log-probability of ``pairs``, plus what it is above that of the same letters in any order."""
-    first, second = (np.bincount(x, minlength=LETTERS) / len(pairs) for x in (pairs // LETTERS, pairs % LETTERS))
-    return float(2 * PAIRS.ravel()[pairs].mean() - first @ PAIRS @ second)
-
-
-def alternates(pairs: np.ndarray) -> bool:
-    """Whether vowels and consonants alternate clearly more often than in the same letters in any order."""
-    a, b = _SOUND[pairs // LETTERS], _SOUND[pairs % LETTERS]
-    both = (a > 0) & (b > 0)
-    n = int(both.sum())
-    if not n:
-        return False
-    a, b = a[both] == 2, b[both] == 2
-    chance = a.mean() * (1 - b.mean()) + b.mean() * (1 - a.mean())
-    return bool((a != b).mean() - chance >= LEAST_ALTERNATION[0] + LEAST_ALTERNATION[1] / n**0.5)
+class Words:
+    """What is known of a word from itself alone; one for each Python worker, which remembers the words it saw."""
+
+    _run = re.compile(r"[^\W\d_]{%d,}" % LEAST_WORD)
+
+    def __init__(self, folder: str, common: dict[str, int]):
+        import tiktoken
+
+        with open(f"{folder}/{VOCABULARY}", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encode = tiktoken.Encoding(VOCABULARY, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        scripts: Counter = Counter()
+        for token in ranks:
+            text = token.decode("utf-8", "ignore").strip()
+            if len(text) >= 2 and text.isalpha():
+                scripts[self.script(text[0])] += 1
+        self.known = {name for name, n in scripts.items() if n >= LEAST_KNOWN}
+        self.common = common
+        self.seen: dict[str, tuple[int, float, int, int, int]] = {}
+
+    @staticmethod
+    def script(letter: str) -> str:
+        return unicodedata.name(letter, "?").split()[0]
+
+    def learn(self, word: str) -> tuple[int, float, int, int, int]:
+        """Tokens of the runs of letters in ``word`` (of scripts that count), those of the same letters in other orders (a
+        mean), and the number of runs; the length of the word, 0 if it begins with a digit; its languages as bits."""
+        own, other, runs = 0, 0.0, 0
+        for run in self._run.findall(word):
+            if self.script(run[0]) in self.known:
+                rnd, letters = random.Random(zlib.crc32(run.encode("utf-8", "replace"))), list(run)
+                own, runs = own + len(self.encode(" " + run)), runs + 1
+                for _ in range(SHUFFLES):
+                    rnd.shuffle(letters)
+                    other += len(self.encode(" " + "".join(letters))) / SHUFFLES
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        found = self.seen[word] = (own, other, runs, 0 if word[0].isdigit() else len(word), self.common.get(word, 0))
+        return found
+
+
+@functools.cache
+def words_of(folder: str, common: tuple[tuple[str, int], ...]) -> Words:
+    return Words(folder, dict(common))
 
 
 def _words(text: str) -> int:
-    n = text.count(" ") + 1 if len(text) > 300 else len(_WORD.findall(text))  # long units need no exact number
+    n = len(_WORD.findall(text))
     return n + len(_UNSPACED.findall(text)) // 2 if not text.isascii() else n
 
 
@@ -151,13 +172,16 @@ def _joined(lines: list[str]) -> list[str]:
     """The lines of a wrapped paragraph as one; other lines as they are.
 
     Lines are wrapped if the first word of the next one wouldn't have fitted, for most of those that don't end a
-    sentence (which may end a paragraph too); or if most have the same number of words, four or more.
+    sentence (which may end a paragraph too); or if most have the same number of words, four or more. Verse is one as
+    well: half of the lines end with a comma or the like, the last with the sentence, and they have five words or more.
     """
     if len(lines) < 3:
         return lines
     lengths = sorted(map(len, lines))
     width = lengths[int(0.7 * (len(lines) - 1))]
     words = [len(x.split()) for x in lines]
+    if sum(x[-1] in ",;:" for x in lines) >= 0.5 * len(lines) and lines[-1][-1] in ".!?" and sum(words) >= 5 * len(lines):
+        return [" ".join(lines)]
     if sum(x[-1] in ".;,:!?)" for x in lines) > 0.6 * len(lines) or sum(words) < 4 * len(lines):
         return lines
     if words.count(usual := max(set(words), key=words.count)) >= 0.75 * len(lines) and usual >= 4:
@@ -177,7 +201,7 @@ def units(lines: list[str]) -> list[tuple[str, str]]:
     plain: list[str] = []
 
     def settle(unit: str) -> None:
-        n, ends = _words(unit), bool(_ENDS.search(unit, max(0, len(unit) - 40)))
+        n, ends = _words(unit), bool(_ENDS.search(unit))
         if n <= 5:
             kind = "list" if n else "signs"
         else:
@@ -197,10 +221,10 @@ def units(lines: list[str]) -> list[tuple[str, str]]:
         if not line or line.isspace():
             flush()
             continue
-        q = _QUOTE.match(line) if ">" in line[:8] and line.lstrip()[:1] == ">" else None
+        q = _QUOTE.match(line) if line.lstrip()[:1] == ">" else None
         if q:
             line = line[q.end() :]
-        if "#" in line[:8] and _HEADING.match(line):
+        if line.lstrip()[:1] == "#" and _HEADING.match(line):
             flush()
             out.append(("head", line))
             continue
@@ -212,7 +236,7 @@ def units(lines: list[str]) -> list[tuple[str, str]]:
         letter = first.isalpha()
         stamp = None if letter else _STAMP.match(line)
         body = line[stamp.end() :] if stamp else line
-        head = body[:40]
+        head = body.lstrip()[:40]  # more than a speaker's name can be long
         speaker = _SPEAKER.match(body) if ":" in head or "-" in head or first == "<" or "–" in head or "—" in head else None
         if speaker:
             flush()
@@ -279,11 +303,11 @@ def phrase_coverage(tokens: list[str], counts: Counter) -> float:
 FIELDS = {
     "n_words": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "letter_share": "double", "ending_line_share": "double",
     "common_word_share": "double", "repeated_line_share": "double", "repeated_paragraph_share": "double", "phrase_coverage": "double",
-    "prose_share": "double", "list_share": "double", "table_share": "double", "pair_score": "double", "is_prose": "boolean",
+    "prose_share": "double", "list_share": "double", "table_share": "double", "token_share": "double", "is_prose": "boolean",
 }
 
 
-def statistics(text: str | None, common: dict[str, int], languages: int) -> tuple:
+def statistics(text: str | None, languages: int, known: Words) -> tuple:
     """The values of ``FIELDS`` for one text; ``is_prose`` is None where there is nothing but white space."""
     if text is None or not text or text.isspace():
         return (0, None, None, None, None, None, None, None, None, None, None, None, None, None)
@@ -307,50 +331,52 @@ def statistics(text: str | None, common: dict[str, int], languages: int) -> tupl
     marks = signs - letters - count(_DIGIT)
     times = Counter(tokens)
     masks: Counter = Counter()
-    n_words = n_signs = 0
+    n_words = n_signs = own = judged_words = 0
+    other = 0.0
+    seen, learn = known.seen.get, known.learn
     for t, n in times.items():
-        if not t[0].isdigit():
-            n_words, n_signs = n_words + n, n_signs + n * len(t)
-            if t in common:
-                masks[common[t]] += n
+        mine, shuffled, runs, length, mask = seen(t) or learn(t)
+        own, other, judged_words, n_signs = own + n * mine, other + n * shuffled, judged_words + n * runs, n_signs + n * length
+        if length:
+            n_words += n
+            if mask:
+                masks[mask] += n
     common_share = max((sum(n for m, n in masks.items() if m >> k & 1) for k in range(languages)), default=0) / max(1, n_words)
     coverage = phrase_coverage(tokens, times) if tokens else 0.0
-    pairs = letter_pairs(points)
-    score = pair_score(pairs) if len(pairs) >= LEAST_PAIR_COUNT else None
+    token_share = own / other if judged_words >= LEAST_JUDGED else None
+    strange = token_share is not None and token_share > MOST_TOKENS[0] - MOST_TOKENS[1] / judged_words
     unspaced, encoded = count(_DENSE) > 0.3 * signs, count(_ENCODED) > 0.5 * max(1, letters)
     blank = np.concatenate([[True], (_KIND[points] & _BLANK) > 0])
     length = signs / max(1, int((blank[:-1] & ~blank[1:]).sum()))  # of what stands between white space
-    if prose_share > 0.98:
-        letter_share = letters / signs
-    elif sentences:
+    letter_share = 0.0
+    if sentences:
         spoken = _KIND[code_points("".join(sentences))]
         letter_share = float(((spoken & _LETTER) > 0).sum() / max(1, ((spoken & _BLANK) == 0).sum()))
-    else:
-        letter_share = 0.0
     is_prose = (
         prose_share >= LEAST_PROSE
         and not (prose_share < FRAMED_PROSE and len(sentences) * FRAME <= items)
         and letter_share >= LEAST_LETTERS
         and (unspaced or WORD_LENGTH[0] <= length <= WORD_LENGTH[1])
         and not encoded
-        and (score is None or score >= LEAST_PAIRS[0] - LEAST_PAIRS[1] / len(pairs) or alternates(pairs))
+        and not strange
         and not (n_words >= LEAST_WORDS and common_share > MOST_COMMON)
         and not (len(tokens) >= LEAST_WORDS and coverage > MOST_REPEATED)
     )
     return (
-        n_words, n_signs / n_words if n_words else None, marks / signs, letters / signs, sum(1 for x in lines if _ENDS.search(x, max(0, len(x) - 40))) / len(lines),
+        n_words, n_signs / n_words if n_words else None, marks / signs, letters / signs, sum(1 for x in lines if _ENDS.search(x)) / len(lines),
         common_share, _repeated(lines), _repeated([p for p in _BLANK_LINES.split(text) if p.strip()] if len(lines) < len(split) else [text]), coverage,
-        prose_share, list_share, table_share, score, is_prose,
+        prose_share, list_share, table_share, token_share, is_prose,
     )
 
 
-def text_statistics(df: DataFrame, text: str, keep: list[str], common_words: DataFrame) -> DataFrame:
+def text_statistics(df: DataFrame, text: str, keep: list[str], common_words: DataFrame, folder: str = FOLDER) -> DataFrame:
     """Columns ``keep`` and the ``FIELDS`` of ``text``, one row for each row.
 
     Shares are of the document's characters without white space, its lines or paragraphs; ``common_word_share`` is the largest over the
     languages of ``common_words`` (``lang``, ``word``; a fixed table of small words, of which at most 100,000 are
     allowed). Null, empty and blank texts have no words, and null for all else, ``is_prose`` too. Texts of any length
-    are taken whole. Repeated rows each get a result; an empty table gives an empty table; other columns are not read.
+    are taken whole. ``token_share`` is null for texts of fewer than ``LEAST_JUDGED`` words in scripts that the vocabulary in
+    ``folder`` knows; such texts are judged by the other rules. Repeated rows each get a result; an empty table gives an empty table; other columns are not read.
     """
     found = common_words.filter("word IS NOT NULL").select("lang", "word").distinct().limit(100_001).collect()
     if len(found) > 100_000:
@@ -364,8 +390,9 @@ def text_statistics(df: DataFrame, text: str, keep: list[str], common_words: Dat
     types = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[v] for v in FIELDS.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words_of(folder, tuple(sorted(common.items())))
         for batch in batches:
-            made = [statistics(t, common, len(languages)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [statistics(t, len(languages), known) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = list(zip(*made)) if made else [()] * len(types)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, t) for c, t in zip(columns, types)]], [*keep, *FIELDS])
 

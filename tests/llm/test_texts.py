@@ -1,6 +1,7 @@
 """Token ids against the public library, mixing, and text statistics."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -108,17 +109,47 @@ def test_verdicts_hang_on_no_other_row(spark):
     assert alone == {k: v for k, v in found.items() if k >= 0}
 
 
-def test_languages_that_the_letter_table_does_not_know(spark):
-    texts = [
-        "Sabah ofise geldiğimizde kapının neden açık olduğunu bilmiyorum ama kimse yeni müdürle bu konuda konuşmak istemedi bugün.",
-        "En tiedä miksi ovi oli auki kun tulimme aamulla toimistoon, mutta kukaan ei halunnut puhua siitä uuden johtajan kanssa tänään.",
-        "Sijui kwa nini mlango ulikuwa wazi tulipofika ofisini asubuhi, lakini hakuna mtu aliyetaka kuzungumza kuhusu jambo hilo na meneja mpya.",
-    ]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    common = spark.createDataFrame([("en", "the")], "lang string, word string")
-    english = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.lit(-1).alias("id"), "text")
-    out = quality.text_statistics(df.unionByName(english), "text", ["id"], common).filter("id >= 0").collect()
-    assert len(out) == 3 and all(r.is_prose for r in out)
+#: One sentence in each language; none of the documents has them.
+LANGUAGES = [
+    "Sabah ofise geldiğimizde kapının neden açık olduğunu bilmiyorum ama kimse yeni müdürle bu konuda konuşmak istemedi bugün.",
+    "En tiedä miksi ovi oli auki kun tulimme aamulla toimistoon, mutta kukaan ei halunnut puhua siitä uuden johtajan kanssa tänään.",
+    "Nie wiem, dlaczego drzwi były otwarte, kiedy rano przyszliśmy do biura, ale nikt nie chciał o tym rozmawiać z nowym kierownikiem.",
+    "Tôi không biết tại sao cửa lại mở khi chúng tôi đến văn phòng vào buổi sáng, nhưng không ai muốn nói chuyện với người quản lý mới.",
+    "Nem tudom, miért volt nyitva az ajtó, amikor reggel megérkeztünk az irodába, de senki sem akart erről beszélni az új vezetővel.",
+    "Nevím, proč byly dveře otevřené, když jsme ráno přišli do kanceláře, ale nikdo o tom nechtěl mluvit s novým vedoucím.",
+    "Я не знаю, почему дверь была открыта, когда мы утром пришли в офис, но никто не хотел говорить об этом с новым начальником.",
+    "Δεν ξέρω γιατί η πόρτα ήταν ανοιχτή όταν φτάσαμε το πρωί στο γραφείο, αλλά κανείς δεν ήθελε να μιλήσει γι' αυτό με τον νέο διευθυντή.",
+    "لا أعرف لماذا كان الباب مفتوحا عندما وصلنا إلى المكتب في الصباح، لكن لم يرغب أحد في الحديث عن ذلك مع المدير الجديد.",
+    "אני לא יודע למה הדלת הייתה פתוחה כשהגענו בבוקר למשרד, אבל אף אחד לא רצה לדבר על זה עם המנהל החדש.",
+    "아침에 우리가 사무실에 도착했을 때 왜 문이 열려 있었는지 모르겠지만 아무도 새 관리자와 그것에 대해 이야기하고 싶어 하지 않았다.",
+    "Ik weet niet waarom de deur open stond toen we 's ochtends op kantoor kwamen, maar niemand wilde er met de nieuwe manager over praten.",
+    "Sijui kwa nini mlango ulikuwa wazi tulipofika ofisini asubuhi, lakini hakuna mtu aliyetaka kuzungumza kuhusu jambo hilo na meneja mpya.",
+]
+
+
+def test_any_language_is_prose_and_its_letters_in_another_order_are_not(spark):
+    def scrambled(text, seed):
+        rnd = random.Random(seed)
+        return re.sub(r"[^\W\d_]{2,}", lambda m: "".join(rnd.sample(m[0], len(m[0]))), text)
+
+    def mixed(text, seed):
+        letters = [c for c in text if c.isalpha()]
+        random.Random(seed).shuffle(letters)
+        return "".join(letters.pop() if c.isalpha() else c for c in text)
+
+    texts = LANGUAGES + [f(t, seed) for f in (scrambled, mixed) for t in LANGUAGES for seed in (1, 2)]
+    out = {r.id: r.is_prose for r in quality.text_statistics(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", ["id"], spark.createDataFrame([("en", "the")], "lang string, word string")).collect()}
+    assert [i for i in range(len(LANGUAGES)) if not out[i]] == []
+    # one or two short sentences of the rest may look like words by chance
+    assert sum(out[i] for i in range(len(LANGUAGES), len(texts))) <= 1
+
+
+def test_verse_is_prose_and_word_counts_do_not_hang_on_length(spark):
+    verse = "The woods are lovely, dark and deep,\nBut I have promises to keep,\nAnd miles to go before I sleep,\nAnd miles to go before I sleep."
+    df = spark.createDataFrame([(1, verse)], "id int, text string")
+    assert quality.text_statistics(df, "text", ["id"], spark.createDataFrame([("en", "the")], "lang string, word string")).first().is_prose
+    numbers = "1 22 333 a4 "
+    assert quality._words(numbers * 20) == 0 and quality._words(numbers * 200) == 0 and quality._words("ab cd " * 500) == 1000
 
 
 def test_statistics_by_hand(spark):
