@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import operator
 import random
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -44,7 +44,7 @@ LEAST_PROSE = 0.5
 FRAMED_PROSE, FRAME = 0.75, 3
 #: this share of letters among its signs, words of this mean length, and at most this share of the tokens of its letters
 #: in another order (less by the second value over the number of words);
-LEAST_LETTERS, WORD_LENGTH, MOST_TOKENS = 0.6, (2.2, 20.0), (0.91, 0.3)
+LEAST_LETTERS, WORD_LENGTH, MOST_TOKENS = 0.6, (2.2, 20.0), (0.92, 0.3)
 #: at most this share of common words (more is function words in no order), and of the most frequent phrase of up to
 #: ``PHRASE`` words; both only count from so many words on.
 MOST_COMMON, MOST_REPEATED, PHRASE, LEAST_WORDS = 0.85, 0.6, 4, 12
@@ -99,6 +99,13 @@ def code_points(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), _TOP)
 
 
+@functools.lru_cache(1000)
+def orders(length: int) -> list[operator.itemgetter]:
+    """Orders of so many letters (two at least) as they come from a fixed seed."""
+    rnd = random.Random(length)
+    return [operator.itemgetter(*rnd.sample(range(length), length)) for _ in range(SHUFFLES)]
+
+
 class Words:
     """What is known of a word from itself alone; one for each Python worker, which remembers the words it saw."""
 
@@ -129,11 +136,8 @@ class Words:
         own, other, runs = 0, 0.0, 0
         for run in self._run.findall(word):
             if self.script(run[0]) in self.known:
-                rnd, letters = random.Random(zlib.crc32(run.encode("utf-8", "replace"))), list(run)
                 own, runs = own + len(self.encode(" " + run)), runs + 1
-                for _ in range(SHUFFLES):
-                    rnd.shuffle(letters)
-                    other += len(self.encode(" " + "".join(letters))) / SHUFFLES
+                other += len(self.encode("".join(" " + "".join(order(run)) for order in orders(len(run))))) / SHUFFLES
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         found = self.seen[word] = (own, other, runs, 0 if word[0].isdigit() else len(word), self.common.get(word, 0))
@@ -279,19 +283,25 @@ def phrase_coverage(tokens: list[str], counts: Counter) -> float:
     often = {t: i for i, (t, n) in enumerate(counts.items()) if n >= 4}
     if not often:
         return best
+    word = max(often, key=counts.get)
+    best = min(1.0, counts[word] * len(word) / total)
     ids = np.fromiter(map(often.get, tokens, repeat(-1)), np.int64, len(tokens))
     words, base = list(often), len(often)
     codes, inside = ids, ids >= 0
-    for k in range(1, PHRASE + 1):
-        if k > 1:
-            if len(tokens) < k:
-                break
-            inside = inside[:-1] & (ids[k - 1 :] >= 0)
-            codes = codes[:-1] * base + ids[k - 1 :]
-        found, times = np.unique(codes[inside], return_counts=True)
-        if not len(times) or times.max() < 4:
-            break  # longer phrases are no more frequent
-        n, code, length = int(times.max()), int(found[times.argmax()]), 0
+    for k in range(2, PHRASE + 1):
+        if len(tokens) < k:
+            break
+        inside = inside[:-1] & (ids[k - 1 :] >= 0)
+        codes = codes[:-1] * base + ids[k - 1 :]
+        if np.count_nonzero(inside) < 4:
+            break
+        found = np.sort(codes[inside])
+        if not (found[3:] == found[:-3]).any():
+            break  # no phrase occurs 4 times, and longer ones are no more frequent
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        times = np.diff(starts, append=len(found))
+        at = int(times.argmax())
+        n, code, length = int(times[at]), int(found[starts[at]]), 0
         for _ in range(k):
             length, code = length + len(words[code % base]), code // base
         # a phrase of one word over and over overlaps itself
