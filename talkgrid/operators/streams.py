@@ -1,4 +1,7 @@
-"""Sequential operators: groups are sorted and read as a stream, with constant memory however long a group is."""
+"""Sequential operators: groups are sorted and read as a stream, with constant memory however long a group is.
+
+Where a pause makes the state new, a file is cut into the stretches between such pauses, and a stretch is one task's.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,17 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from talkgrid.operators.intervals import overlap_join
+from talkgrid.operators.sequences import gap_merge
+from talkgrid.storage import stored
+
+#: Width of a join bucket of rows and stretches, in ms.
+BUCKET = 600_000
 
 Row = dict[str, Any]
+_TURN = "file_id string, stretch bigint, idx bigint, speaker_id string, s bigint, e bigint"
 
 
 def fold_groups(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Row], list[Row]], end: Callable[[Any], list[Row]], schema: str) -> DataFrame:
@@ -41,14 +53,25 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     return rows.mapInPandas(run, schema)
 
 
+def with_stretch(rows: DataFrame, gap: int, start: str = "s", end: str = "e") -> DataFrame:
+    """``rows`` with ``stretch``: where in its file the stretch begins to which a row belongs.
+
+    Rows of one file are of one stretch if there is no time of more than ``gap`` between them in which no interval
+    [``start``, ``end``] is open. Rows find theirs by file and time bucket, so a long file is spread.
+    """
+    rows = stored(rows)
+    spans = gap_merge(rows.select("file_id", F.expr(start).alias("s"), F.expr(end).alias("e")), ["file_id"], gap)
+    spans = spans.select("file_id", "s", (F.col("e") + 1).alias("e"))
+    points = rows.select("file_id", F.struct(*rows.columns).alias("row"), F.expr(start).alias("s"), F.expr(f"{start} + 1").alias("e"))
+    return overlap_join(points, spans, ["file_id"], BUCKET, ("l", "r")).select("l.row.*", F.col("r.s").alias("stretch"))
+
+
 def pack_batches(segments: DataFrame, longest: int = 8_000, most_ms: int = 300_000, most: int = 50, threshold: int = 12) -> DataFrame:
     """Batches of short segments, filled in order: ``file_id``, ``idx``, ``batch`` (null for segments that stay alone).
 
     A batch ends where the next segment would exceed ``most_ms`` or ``most``. Segments over ``longest`` stay alone, and
     so do all of a file with fewer than ``threshold`` segments.
     """
-    from pyspark.sql import functions as F
-
     counts = segments.groupBy("file_id").agg(F.count("*").alias("n"))
     rows = segments.select("file_id", "idx", "s", "e").join(counts, "file_id")
 
@@ -87,8 +110,9 @@ def resolve_overlaps(segments: DataFrame, least: int = 50) -> DataFrame:
             state["last"] = {"idx": row["idx"], "speaker_id": row["speaker_id"], "s": s, "e": e}
         return out
 
-    rows = segments.select("file_id", "idx", "speaker_id", "s", "e")
-    return fold_groups(rows, ["file_id"], ["s", "idx"], start, step, lambda state: [state["last"]] if state["last"] else [], "file_id string, idx bigint, speaker_id string, s bigint, e bigint")
+    first = "greatest(0L, s)"
+    rows = with_stretch(segments.select("file_id", "idx", "speaker_id", "s", "e"), 0, first, f"greatest({first} + {least}, e)")
+    return fold_groups(rows, ["file_id", "stretch"], ["s", "idx"], start, step, lambda state: [state["last"]] if state["last"] else [], _TURN).drop("stretch")
 
 
 def absorb_short(segments: DataFrame, least: int, gap: int) -> DataFrame:
@@ -122,8 +146,8 @@ def absorb_short(segments: DataFrame, least: int, gap: int) -> DataFrame:
         out = place(state, state["now"], None) if state["now"] else []
         return out + ([state["last"]] if state["last"] else [])
 
-    rows = segments.select("file_id", "idx", "speaker_id", "s", "e")
-    return fold_groups(rows, ["file_id"], ["s", "idx"], start, step, end, "file_id string, idx bigint, speaker_id string, s bigint, e bigint")
+    rows = with_stretch(segments.select("file_id", "idx", "speaker_id", "s", "e"), gap)
+    return fold_groups(rows, ["file_id", "stretch"], ["s", "idx"], start, step, end, _TURN).drop("stretch")
 
 
 def active_speakers(windows: DataFrame) -> DataFrame:
@@ -132,9 +156,8 @@ def active_speakers(windows: DataFrame) -> DataFrame:
     Between two borders the speaker with most open windows speaks (of equal ones the first by name); slices of the same
     speaker that touch are one. A speaker stays open until his last window ends. The state is the open windows only.
     """
-    from pyspark.sql import functions as F
-
-    borders = windows.filter("e > s").select("file_id", "speaker_id", F.inline(F.expr("array(named_struct('t', s, 'd', 1), named_struct('t', e, 'd', -1))")))
+    rows = with_stretch(windows.select("file_id", "speaker_id", "s", "e").filter("e > s"), 0)
+    borders = rows.select("file_id", "stretch", "speaker_id", F.inline(F.expr("array(named_struct('t', s, 'd', 1), named_struct('t', e, 'd', -1))")))
 
     def start() -> dict:
         return {"open": {}, "t": None, "last": None}
@@ -157,4 +180,5 @@ def active_speakers(windows: DataFrame) -> DataFrame:
             open_now.pop(row["speaker_id"])
         return out
 
-    return fold_groups(borders, ["file_id"], ["t", "d", "speaker_id"], start, step, lambda state: [state["last"]] if state["last"] else [], "file_id string, speaker_id string, s bigint, e bigint")
+    schema = "file_id string, stretch bigint, speaker_id string, s bigint, e bigint"
+    return fold_groups(borders, ["file_id", "stretch"], ["t", "d", "speaker_id"], start, step, lambda state: [state["last"]] if state["last"] else [], schema).drop("stretch")

@@ -65,7 +65,9 @@ def speaker_quantiles_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.quantiles(segments(spark, sf, ["loudness_rms"]), S.KEYS, "loudness_rms", [0.25, 0.5, 0.75]), "q0", "q1", "q2")
 
 
-@R.add()
+@R.add(
+    f"""WITH {SEG} SELECT speaker_id, quantile_disc(loudness_rms, 0.25) AS q0, quantile_disc(loudness_rms, 0.5) AS q1, quantile_disc(loudness_rms, 0.75) AS q2 FROM seg GROUP BY speaker_id"""
+)
 def speaker_quantiles_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return S.quantiles(segments(spark, sf, ["loudness_rms"]), ["speaker_id"], "loudness_rms", [0.25, 0.5, 0.75], exact=False)
 

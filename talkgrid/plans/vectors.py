@@ -85,17 +85,45 @@ def turn_summary(spark: SparkSession, sf: str) -> DataFrame:
     return turns(segments(spark, sf, []), ["file_id"]).groupBy("file_id", "speaker_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.expr("e - s")).alias("turn_ms"))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {SEG}, c AS (SELECT file_id, idx, s, e - s AS d, count(*) OVER (PARTITION BY file_id) AS n FROM seg),
+ el AS (SELECT file_id, idx, d, row_number() OVER (PARTITION BY file_id ORDER BY s, idx) AS rn FROM c WHERE n >= 12 AND d <= 8000),
+ w(file_id, idx, rn, batch, ms, cnt) AS (SELECT file_id, idx, rn, 0, d, 1 FROM el WHERE rn = 1 UNION ALL
+   SELECT el.file_id, el.idx, el.rn, CASE WHEN ms + d > 300000 OR cnt >= 50 THEN batch + 1 ELSE batch END, CASE WHEN ms + d > 300000 OR cnt >= 50 THEN d ELSE ms + d END, CASE WHEN ms + d > 300000 OR cnt >= 50 THEN 1 ELSE cnt + 1 END
+   FROM w JOIN el ON el.file_id = w.file_id AND el.rn = w.rn + 1)
+SELECT c.file_id, c.idx, w.batch::INTEGER AS batch FROM c LEFT JOIN w USING (file_id, idx)"""
+)
 def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return Q.pack_batches(segments(spark, sf, []))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {SEG}, r AS (SELECT file_id, idx, speaker_id, greatest(0, s) AS s, greatest(greatest(0, s) + 50, e) AS e, row_number() OVER (PARTITION BY file_id ORDER BY s, idx) AS rn FROM seg),
+ w(file_id, rn, li, lp, ls, le, oi, op, os, oe) AS (SELECT file_id, rn, idx, speaker_id, s, e, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM r WHERE rn = 1 UNION ALL
+   SELECT file_id, rn, CASE WHEN e - ns >= 50 THEN idx ELSE li END, CASE WHEN e - ns >= 50 THEN speaker_id ELSE lp END, CASE WHEN e - ns >= 50 THEN ns ELSE ls END, CASE WHEN e - ns >= 50 THEN e ELSE nl END,
+     CASE WHEN e - ns >= 50 THEN li END, CASE WHEN e - ns >= 50 THEN lp END, CASE WHEN e - ns >= 50 THEN ls END, CASE WHEN e - ns >= 50 THEN nl END
+   FROM (SELECT r.*, li, lp, ls, CASE WHEN s < le THEN (le + s) // 2 ELSE s END AS ns, CASE WHEN s < le THEN (le + s) // 2 ELSE le END AS nl FROM w JOIN r ON r.file_id = w.file_id AND r.rn = w.rn + 1))
+SELECT file_id, oi AS idx, op AS speaker_id, os AS s, oe AS e FROM w WHERE oi IS NOT NULL
+UNION ALL SELECT file_id, li, lp, ls, le FROM w QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY rn DESC) = 1"""
+)
 def midpoint_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return Q.resolve_overlaps(segments(spark, sf, []))
 
 
-@R.add()
+_TO_LAST = "ne - ns < 1500 AND lp = np AND greatest(0, ns - le) <= 1000"
+_TO_NEXT = "ne - ns < 1500 AND r.speaker_id = np AND greatest(0, r.s - ne) <= 1000"
+
+
+@R.add(
+    f"""WITH RECURSIVE {SEG}, r AS (SELECT file_id, idx, speaker_id, s, e, row_number() OVER (PARTITION BY file_id ORDER BY s, idx) AS rn FROM seg),
+ w(file_id, rn, li, lp, ls, le, ni, np, ns, ne, oi, op, os, oe) AS (SELECT file_id, rn, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, idx, speaker_id, s, e, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM r WHERE rn = 1 UNION ALL
+   SELECT file_id, rn, CASE WHEN a OR b THEN li ELSE ni END, CASE WHEN a OR b THEN lp ELSE np END, CASE WHEN a OR b THEN ls ELSE ns END, CASE WHEN a THEN greatest(le, ne) WHEN b THEN le ELSE ne END,
+     idx, speaker_id, CASE WHEN b THEN least(s, ns) ELSE s END, e, CASE WHEN NOT (a OR b) THEN li END, CASE WHEN NOT (a OR b) THEN lp END, CASE WHEN NOT (a OR b) THEN ls END, CASE WHEN NOT (a OR b) THEN le END
+   FROM (SELECT r.*, li, lp, ls, le, ni, np, ns, ne, coalesce({_TO_LAST}, false) AS a, NOT coalesce({_TO_LAST}, false) AND coalesce({_TO_NEXT}, false) AS b FROM w JOIN r ON r.file_id = w.file_id AND r.rn = w.rn + 1)),
+ z AS (SELECT *, coalesce({_TO_LAST}, false) AS a FROM w QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY rn DESC) = 1)
+SELECT file_id, oi AS idx, op AS speaker_id, os AS s, oe AS e FROM w WHERE oi IS NOT NULL UNION ALL SELECT file_id, li, lp, ls, CASE WHEN a THEN greatest(le, ne) ELSE le END FROM z WHERE li IS NOT NULL
+UNION ALL SELECT file_id, ni, np, ns, ne FROM z WHERE NOT a"""
+)
 def min_duration_absorb(spark: SparkSession, sf: str) -> DataFrame:
     return Q.absorb_short(segments(spark, sf, []), 1500, 1000)
 
@@ -197,12 +225,23 @@ def merge_similar_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return V.merge_similar(middles, ["file_id"], "label", 0.6)
 
 
-@R.add()
+@R.add(
+    """WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-9 AS n FROM embeddings),
+ d AS (SELECT x.vec_id, x.label, y.label AS other, avg(1 - list_dot_product(x.v, y.v) / (x.n * y.n)) AS d FROM n x JOIN n y ON x.vec_id <> y.vec_id GROUP BY ALL),
+ s AS (SELECT vec_id, any_value(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b FROM d GROUP BY vec_id)
+SELECT 'all' AS file_id, round(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s"""
+)
 def speaker_silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    return V.mean_silhouette(_vectors(spark, sf).withColumn("file_id", F.lit("all")), ["file_id"], "label", "embedding")
+    return rounded(V.mean_silhouette(_vectors(spark, sf).withColumn("file_id", F.lit("all")), ["file_id"], "label", "embedding"), "silhouette")
 
 
-@R.add()
+@R.add(
+    f"""WITH {SEG}, w AS (SELECT file_id, speaker_id, s, e FROM seg WHERE e > s), t AS (SELECT file_id, t, lead(t) OVER (PARTITION BY file_id ORDER BY t) AS u FROM (SELECT file_id, s AS t FROM w UNION SELECT file_id, e FROM w)),
+ o AS (SELECT t.file_id, t, u, speaker_id FROM t JOIN w ON w.file_id = t.file_id AND s <= t AND e > t GROUP BY t.file_id, t, u, speaker_id QUALIFY row_number() OVER (PARTITION BY t.file_id, t ORDER BY count(*) DESC, speaker_id) = 1),
+ g AS (SELECT *, CASE WHEN lag(speaker_id) OVER x = speaker_id AND lag(u) OVER x = t THEN 0 ELSE 1 END AS fresh FROM o WINDOW x AS (PARTITION BY file_id ORDER BY t)),
+ h AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY t) AS g FROM g)
+SELECT file_id, any_value(speaker_id) AS speaker_id, min(t) AS s, max(u) AS e FROM h GROUP BY file_id, g"""
+)
 def active_speaker_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return Q.active_speakers(segments(spark, sf, []))
 
@@ -217,14 +256,19 @@ def readable_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return T.readable(segments(spark, sf, ["speaker_name", "text", "emotion_top", "valence", "arousal", "dominance", "intent_top", "vad_unstable", "noise_tag"]).filter("s >= 0"))
 
 
+#: What a later delivery may correct.
+CORRECTED = ["file_id", "speaker_id", "speaker_name", "text", "start", "end", "words", "wpm", "valence", "arousal", "dominance", "snr_db", "emotion_top", "intent_top"]
+_ROW = ", ".join(f"""'{c}': "{c}\"""" for c in CORRECTED)
+
+
 @R.add(
-    """WITH x AS (SELECT seg_id, ingested_at, sha256(concat_ws('|', coalesce(file_id, ''), coalesce(text, ''))) AS d FROM segments WHERE seg_id IS NOT NULL),
- o AS (SELECT seg_id, d FROM x QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at) = 1), n AS (SELECT seg_id, d FROM x QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1)
-SELECT n.seg_id FROM n LEFT JOIN o ON n.seg_id = o.seg_id AND n.d = o.d WHERE o.seg_id IS NULL"""
+    f"""WITH n AS (SELECT seg_id, {{{_ROW}}} AS d FROM segments WHERE seg_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at DESC) = 1),
+ o AS (SELECT seg_id, {{{_ROW}}} AS d FROM segments WHERE seg_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY ingested_at) = 1)
+SELECT seg_id FROM n JOIN o USING (seg_id) WHERE n.d IS DISTINCT FROM o.d"""
 )
 def resume_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments of which the latest delivery differs from the first in file or text, which a resumed run computes again."""
+    """Segments of which the latest delivery differs from the first in any column that may be corrected, which a resumed run computes again."""
     rows = spark.read.parquet(f"{sf}/segments.parquet").filter("seg_id IS NOT NULL")
-    new = latest_rows(rows, "seg_id", "ingested_at", ["file_id", "text"])
-    old = rows.groupBy("seg_id").agg(F.min_by(F.struct("file_id", "text"), "ingested_at").alias("r")).select("seg_id", "r.*")
-    return T.changed_rows(old, new, "seg_id", ["file_id", "text"]).select("seg_id")
+    new = latest_rows(rows, "seg_id", "ingested_at", CORRECTED)
+    old = rows.groupBy("seg_id").agg(F.min_by(F.struct(*CORRECTED), "ingested_at").alias("r")).select("seg_id", "r.*")
+    return T.changed_rows(old, new, "seg_id", CORRECTED).select("seg_id")
