@@ -89,12 +89,13 @@ def speech_anomalies(segments: DataFrame) -> DataFrame:
     """Segments with anomalies: ``flags`` (names in a fixed order, joined by commas) and ``severity``.
 
     Needs ``wpm``, ``pause_ratio``, ``loudness_rms``, ``vq_jitter_pct`` and ``disfluency_rate`` (a 100 words); missing
-    values have no flag.
+    values have no flag. ``vq_shimmer_db`` counts where there is such a column.
     """
     rules = [
         ("very_slow_speech", F.col("wpm") < 80, 1.0), ("very_fast_speech", F.col("wpm") > 300, 1.0), ("high_disfluency", F.col("disfluency_rate") > 15, 1.5),
         ("elevated_disfluency", (F.col("disfluency_rate") > 8) & (F.col("disfluency_rate") <= 15), 0.5), ("high_pause_ratio", F.col("pause_ratio") > 0.5, 0.5),
         ("very_quiet", F.col("loudness_rms") < -40, 0.5), ("high_jitter", F.col("vq_jitter_pct") > 2.5, 0.5),
+        *([("high_shimmer", F.col("vq_shimmer_db") > 1.5, 0.5)] if "vq_shimmer_db" in segments.columns else []),
     ]
     flags = F.array_compact(F.array(*[F.when(hit, name) for name, hit, _ in rules]))
     severity = sum((F.when(hit, weight).otherwise(0.0) for _, hit, weight in rules), F.lit(0.0))

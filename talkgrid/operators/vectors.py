@@ -327,3 +327,98 @@ def force_single_speaker(turns: DataFrame, dominance: float = 0.85, most: int =
     scores = mean_silhouette(known, ["file_id"], "speaker_id", "vector").join(enough.select("file_id"), "file_id")
     force = (F.col("n") > 1) & (F.col("n") <= most) & (F.col("share") >= dominance) & F.coalesce(F.col("silhouette") <= fit, F.lit(False))
     return _spoken(turns).join(scores, "file_id", "left").select("file_id", "speaker_id", "share", "silhouette", force.alias("force"))
+
+
+def centroid_spread(centroids: DataFrame, keys: list[str]) -> DataFrame:
+    """The largest cosine distance of two centroids of a group: ``keys``, ``labels``, ``apart`` (null for one label).
+
+    A group is the labels of a recording: few, so its centroids travel as one row.
+    """
+    packed = centroids.groupBy(*keys).agg(F.collect_list("centroid").alias("all"))
+    pairs = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: 1 - cosine(a, b))))
+    return packed.select(*keys, F.size("all").cast("bigint").alias("labels"), F.when(F.size("all") > 1, F.array_max(pairs)).alias("apart"))
+
+
+def affinity(x: np.ndarray, share: float = 0.90) -> np.ndarray:
+    """Cosine similarities, those below the ``share`` quantile of their row as 0, made symmetric by the larger one, and moved to 0..1."""
+    v = x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+    a = v @ v.T
+    np.fill_diagonal(a, 1.0)
+    if 0 < share < 1:
+        a = np.where(a >= np.quantile(a, share, axis=1)[:, None], a, 0.0)
+    return np.clip((np.maximum(a, a.T) + 1) / 2, 0.0, 1.0)
+
+
+def _kmeans(x: np.ndarray, k: int, tries: int = 10, rounds: int = 100) -> np.ndarray:
+    """Labels of the best of some runs of Lloyd's method, each begun with points far from those before; the same on every run."""
+    best, least = np.zeros(len(x), np.int64), np.inf
+    for seed in range(tries):
+        rnd = np.random.default_rng(seed)
+        middles = x[[rnd.integers(len(x))]]
+        while len(middles) < k:
+            d = ((x[:, None] - middles) ** 2).sum(axis=2).min(axis=1)
+            middles = np.vstack([middles, x[rnd.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rnd.integers(len(x))]])
+        for _ in range(rounds):
+            labels = ((x[:, None] - middles) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.stack([x[labels == j].mean(axis=0) if (labels == j).any() else middles[j] for j in range(k)])
+            if np.allclose(moved, middles):
+                break
+            middles = moved
+        cost = float(((x - middles[labels]) ** 2).sum())
+        if cost < least - 1e-12:
+            best, least = labels, cost
+    return best
+
+
+def _silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    v = x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+    names = np.unique(labels)
+    if not 1 < len(names) < len(x):
+        return -1.0
+    sums, n = np.stack([v[labels == c].sum(axis=0) for c in names]), np.array([(labels == c).sum() for c in names])
+    dots, own = v @ sums.T, np.searchsorted(names, labels)
+    rows = np.arange(len(x))
+    a = 1 - (dots[rows, own] - (v * v).sum(axis=1)) / np.maximum(1, n[own] - 1)
+    far = 1 - dots / n
+    far[rows, own] = np.inf
+    b = far.min(axis=1)
+    return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
+
+
+def spectral_labels(x: np.ndarray, least: int = 2, most: int = 6, floor: float = 0.01, share: float = 0.90) -> tuple[np.ndarray | None, float]:
+    """Spectral clusters of the number, ``least`` to ``most``, with the best silhouette by cosine distance, and that silhouette.
+
+    Each number takes as many eigenvectors of the normalised affinity and clusters their rows. None below ``floor``, or for fewer than two vectors.
+    """
+    if len(x) < 2:
+        return None, -1.0
+    a = affinity(x, share)
+    scale = 1 / np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
+    _, vectors = np.linalg.eigh(a * scale[:, None] * scale[None, :])
+    best, score = None, -1.0
+    for k in range(least, min(most, len(x)) + 1):
+        labels = _kmeans(vectors[:, -k:] * scale[:, None], k)
+        found = _silhouette(x, labels)
+        if found > score:
+            best, score = labels, found
+    return (best, score) if best is not None and score >= floor else (None, score)
+
+
+def spectral_cluster(df: DataFrame, keys: list[str], ident: str, vector: str, most_vectors: int = 5_000) -> DataFrame:
+    """``spectral_labels`` of the vectors of each group: ``keys``, ``ident``, ``cluster`` (null where there are none), ``silhouette``.
+
+    A group is one task's, as the method needs all its similarities: more than ``most_vectors`` in one group are an error, for
+    which ``cluster`` is the way. Null vectors don't count.
+    """
+    types = dict(df.dtypes)
+    rows = df.filter(F.col(vector).isNotNull()).select(*keys, ident, F.col(vector).cast("array<double>").alias("__v"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_vectors:
+            raise ValueError(f"{len(pdf)} vectors in a group: more than {most_vectors}")
+        pdf = pdf.sort_values(ident).reset_index(drop=True)
+        labels, score = spectral_labels(np.stack(pdf["__v"]))
+        firsts = {} if labels is None else {c: j for j, c in enumerate(dict.fromkeys(labels.tolist()))}
+        return pdf[[*keys, ident]].assign(cluster=pd.array([None] * len(pdf) if labels is None else [firsts[c] for c in labels.tolist()], "Int64"), silhouette=score)
+
+    return rows.groupBy(*keys).applyInPandas(inside, ", ".join(f"`{c}` {types[c]}" for c in [*keys, ident]) + ", cluster bigint, silhouette double")
