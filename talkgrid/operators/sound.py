@@ -64,10 +64,10 @@ def collapse_labels(frames: DataFrame, group: Column) -> DataFrame:
 def mapped_labels(frames: DataFrame, classes: DataFrame) -> DataFrame:
     """``collapse_labels`` by a table ``classes`` of ``raw`` and ``label``, in any case; labels that aren't there stay.
 
-    Of several rows of one raw label the last by ``label`` counts. The table is a vocabulary of labels and is broadcast.
+    Of several rows of one raw label the last by ``label`` counts. The planner picks the join by the table's size.
     """
     by = classes.groupBy(F.lower(F.trim("raw")).alias("__raw")).agg(F.max("label").alias("__to"))
-    joined = frames.join(F.broadcast(by), F.lower(F.trim("label")) == F.col("__raw"), "left")
+    joined = frames.join(by, F.lower(F.trim("label")) == F.col("__raw"), "left")
     return collapse_labels(joined, F.coalesce("__to", "label"))
 
 

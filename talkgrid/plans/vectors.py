@@ -12,7 +12,7 @@ from talkgrid.operators import vectors as V
 from talkgrid.operators.latest import latest_rows
 from talkgrid.plans.conversation import FLOW, rounded
 from talkgrid.plans.registry import Registry
-from talkgrid.sources.tables import SEG, segments
+from talkgrid.sources.tables import EV, SEG, events, segments
 
 R = Registry()
 
@@ -32,29 +32,32 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.centroids(_vectors(spark, sf), ["label"], "embedding").select("label", F.posexplode("centroid").alias("pos", "x"), "members"), "x")
 
 
-def _registry(spark: SparkSession, sf: str) -> DataFrame:
-    """Known speakers: the centroids of half of the vectors of each label."""
-    known = V.centroids(_vectors(spark, sf).filter("vec_id % 2 = 0"), ["label"], "embedding")
-    return known.select(F.concat(F.lit("Speaker_"), F.col("label").cast("string")).alias("name"), "centroid", F.col("members").alias("samples"))
+def _named(df: DataFrame, *columns: F.Column) -> DataFrame:
+    return df.select(F.concat(F.lit("Speaker_"), F.col("label").cast("string")).alias("name"), *columns)
 
 
-_SIM = f"""{_cen('vec_id % 2 = 0', 'rg')}, sm AS (SELECT vec_id, 'Speaker_' || rg_l.label AS name, list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c)) + 1e-9) AS sim FROM embeddings, rg_l),
+_SIM = f"""{_cen('true', 'rg')}, sm AS (SELECT vec_id, 'Speaker_' || rg_l.label AS name, list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c)) + 1e-9) AS sim FROM embeddings, rg_l),
  bm AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, name) = 1)"""
 
 
 @R.add(f"WITH {_SIM} SELECT vec_id, name, round(sim, 6) AS similarity, CASE WHEN sim >= 0.3 THEN name END AS assigned, sim >= 0.2 AND sim < 0.3 AS needs_review FROM bm")
 def registry_match(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(V.assign_names(V.match_registry(_vectors(spark, sf), "vec_id", "embedding", _registry(spark, sf)), 0.3, 0.2), "similarity")
+    """Every vector against a registry of the centroids of all labels."""
+    registry = _named(V.centroids(_vectors(spark, sf), ["label"], "embedding"), F.col("centroid"))
+    return rounded(V.assign_names(V.match_registry(_vectors(spark, sf), "vec_id", "embedding", registry), 0.3, 0.2), "similarity")
 
 
 @R.add(
-    f"""WITH {_cen('vec_id % 2 = 0', 'od')}, {_cen('vec_id % 2 = 1', 'nw')}, b AS (SELECT coalesce(o.label, n.label) AS label, coalesce(o.pos, n.pos) AS pos, CASE WHEN o.x IS NULL THEN n.x WHEN n.x IS NULL THEN o.x ELSE o.x * 0.7 + n.x * 0.3 END AS x,
-  o.x IS NOT NULL AND n.x IS NOT NULL AS moved, CASE WHEN o.x IS NULL THEN 1 WHEN n.x IS NULL THEN o.n ELSE o.n + 1 END AS samples FROM od o FULL JOIN nw n ON o.label = n.label AND o.pos = n.pos)
-SELECT 'Speaker_' || label AS name, samples, pos::INTEGER AS pos, round(CASE WHEN moved THEN x / (sqrt(sum(x * x) OVER (PARTITION BY label)) + 1e-9) ELSE x END, 6) AS x FROM b"""
+    f"""WITH f AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v, count(*) AS n FROM embeddings GROUP BY label), fu AS (SELECT label, v, n, sqrt(list_dot_product(v, v)) + 1e-9 AS l FROM f),
+ od AS (SELECT label, unnest(range(len(v))) AS pos, unnest(v) / l AS x FROM fu), {_cen('true', 'nw')}, b AS (SELECT o.label, o.pos, CASE WHEN fu.n > 1 THEN o.x * 0.7 + n.x * 0.3 ELSE o.x END AS x, fu.n > 1 AS moved FROM od o JOIN fu USING (label) JOIN nw n ON o.label = n.label AND o.pos = n.pos)
+SELECT 'Speaker_' || label AS name, CASE WHEN moved THEN 2 ELSE 1 END::BIGINT AS samples, pos::INTEGER AS pos, round(CASE WHEN moved THEN x / (sqrt(sum(x * x) OVER (PARTITION BY label)) + 1e-9) ELSE x END, 6) AS x FROM b"""
 )
 def registry_ema(spark: SparkSession, sf: str) -> DataFrame:
-    fresh = V.centroids(_vectors(spark, sf).filter("vec_id % 2 = 1"), ["label"], "embedding").select(F.concat(F.lit("Speaker_"), F.col("label").cast("string")).alias("name"), "centroid")
-    return rounded(V.update_registry(_registry(spark, sf), fresh).select("name", "samples", F.posexplode("centroid").alias("pos", "x")), "x")
+    """Speakers enrolled with their first vector, and moved by the centroid of all if they have more."""
+    rows = _vectors(spark, sf)
+    first = _named(rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")), V.unit(F.col("v")).alias("centroid"), F.lit(1).cast("bigint").alias("samples"))
+    fresh = _named(V.centroids(rows, ["label"], "embedding").filter("members > 1"), F.col("centroid"))
+    return rounded(V.update_registry(first, fresh).select("name", "samples", F.posexplode("centroid").alias("pos", "x")), "x")
 
 
 @R.add(f"WITH {_cen('true', 'ce')} SELECT vec_id, e.label, round(1 - list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c)) + 1e-9), 6) AS distance FROM embeddings e JOIN ce_l USING (label)")
@@ -208,15 +211,14 @@ def health_combine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH {SEG}, p AS (SELECT a.file_id, a.idx, b.idx AS other, abs(a.s - b.s) AS apart, b.s AS t FROM seg a JOIN seg b ON a.file_id = b.file_id AND a.idx <> b.idx AND abs(a.s - b.s) <= 750 AND a.idx % 2 = 0 AND b.idx % 2 = 1)
+    f"""WITH {SEG}, {EV}, p AS (SELECT a.file_id, a.idx, b.event_id AS other, abs(a.s - b.s) AS apart, b.s AS t FROM seg a JOIN ev b ON a.file_id = b.file_id AND abs(a.s - b.s) <= 750)
 SELECT file_id, idx, other, apart FROM p QUALIFY row_number() OVER (PARTITION BY file_id, idx ORDER BY apart, t, other) = 1"""
 )
 def nearest_audio_affect(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of one pass over a recording matched with those of another by start; even and odd segments stand for the passes."""
+    """Each segment with the sound event that starts nearest to it."""
     from talkgrid.operators.intervals import nearest_within
 
-    rows = segments(spark, sf, [])
-    return nearest_within(rows.filter("idx % 2 = 0"), rows.filter("idx % 2 = 1"), ["file_id"], 750)
+    return nearest_within(segments(spark, sf, []), events(spark, sf).select("file_id", F.col("event_id").alias("idx"), "s"), ["file_id"], 750)
 
 
 @R.add()

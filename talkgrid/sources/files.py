@@ -58,10 +58,11 @@ def _decode(content: bytes, first: float, seconds: float | None, rate: int) -> t
     return x, own
 
 
-def read_audio(spark: SparkSession, path: str, rate: int = 16_000, chunk: float = 60.0, overlap: float = 0.0, glob: str = "*.wav") -> DataFrame:
+def read_audio(spark: SparkSession, path: str, rate: int = 16_000, chunk: float = 60.0, overlap: float = 0.0, glob: str = "*.wav", span: tuple[float, float | None] = (0.0, None)) -> DataFrame:
     """Mono chunks of uncompressed WAV files: ``path``, ``chunk_id``, ``start_s``, ``rate``, ``samples``.
 
-    Samples are resampled to ``rate`` (0: as they are); a chunk reaches ``overlap`` seconds into its neighbours. Files that aren't
+    Samples are resampled to ``rate`` (0: as they are); a chunk reaches ``overlap`` seconds into its neighbours. Only what lies in ``span``
+    (seconds, None: the end) is decoded; chunks are counted from its start. Files that aren't
     uncompressed WAV give one row with null ``samples``.
     """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -75,9 +76,10 @@ def read_audio(spark: SparkSession, path: str, rate: int = 16_000, chunk: float
                     continue
                 with wave.open(io.BytesIO(content)) as w:
                     total = w.getnframes() / w.getframerate()
-                for k in range(max(1, int(np.ceil(total / chunk - 1e-9)))):
-                    first = max(0.0, k * chunk - overlap)
-                    last = min(total, (k + 1) * chunk + overlap)
+                begin, stop = min(total, max(0.0, span[0])), total if span[1] is None else min(total, span[1])
+                for k in range(max(1, int(np.ceil((stop - begin) / chunk - 1e-9)))):
+                    first = max(begin, begin + k * chunk - overlap)
+                    last = max(first, min(stop, begin + (k + 1) * chunk + overlap))
                     x, own = _decode(content, first, last - first, rate)
                     yield pd.DataFrame({"path": [p], "chunk_id": [k], "start_s": [first], "rate": [own], "samples": [x]})
 
