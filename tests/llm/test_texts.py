@@ -62,6 +62,18 @@ def test_mixing_repeats_and_draws(spark):
     assert Counter(x.copies for x in drawn.filter("source = 'a'").collect()) == {3: 75, 2: 25}
 
 
+def test_documents_are_drawn_with_probabilities_that_grow_with_the_root_of_their_size(spark):
+    df = spark.createDataFrame([(i, "a", 400 if i % 2 else 100) for i in range(20_000)] + [(100_000 + i, "b", 1000) for i in range(10_000)], "doc bigint, source string, size bigint")
+    targets = spark.createDataFrame([("a", 0.1, 1), ("b", 0.9, 9)], "source string, target_share double, max_repeats int")
+    drawn = mix_sources(df, targets, "doc", "source", "size")[0]
+    n = {r["size"]: r["count"] for r in drawn.filter("source = 'a'").groupBy("size").count().collect()}
+    # 1.5 m of 5 m signs, with p = 1.5 m * root(n) / sum(n * root(n)): 0.1667 of the short and 0.3333 of the long ones
+    assert n[100] / 10_000 == pytest.approx(1 / 6, abs=0.02) and n[400] / 10_000 == pytest.approx(1 / 3, abs=0.02)
+    # a document that is more than its share is certain
+    more = df.unionByName(spark.createDataFrame([(-1, "a", 100_000)], df.schema))
+    assert all(mix_sources(more, targets, "doc", "source", "size", seed=k)[0].filter("doc = -1").count() == 1 for k in (1, 2))
+
+
 def test_mixing_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     docs = spark.createDataFrame([], "doc bigint, source string, size bigint")
