@@ -277,36 +277,31 @@ def _repeated(parts: list[str]) -> float:
 def phrase_coverage(tokens: list[str], counts: Counter) -> float:
     """Share of the characters that lie in the most frequent phrase of 1 to ``PHRASE`` words (it must occur 4 times).
 
-    ``counts`` are those of ``tokens``. Only words that occur 4 times themselves can be in such a phrase.
+    ``counts`` are those of ``tokens``. Only words that occur 4 times themselves can be in such a phrase. Of equally
+    frequent phrases of so many words the longest counts.
     """
-    total, best = sum(map(len, tokens)), 0.0
-    often = {t: i for i, (t, n) in enumerate(counts.items()) if n >= 4}
-    if not often:
-        return best
-    word = max(often, key=counts.get)
-    best = min(1.0, counts[word] * len(word) / total)
-    ids = np.fromiter(map(often.get, tokens, repeat(-1)), np.int64, len(tokens))
-    words, base = list(often), len(often)
-    codes, inside = ids, ids >= 0
+    words = [t for t, n in counts.items() if n >= 4]
+    if not words:
+        return 0.0
+    total, base = sum(map(len, tokens)), len(words)
+    n = max(counts.values())
+    best = n * max(len(t) for t in words if counts[t] == n)
+    often = dict(zip(words, range(base)))
+    codes = ids = list(map(often.get, tokens, repeat(-1)))
     for k in range(2, PHRASE + 1):
-        if len(tokens) < k:
-            break
-        inside = inside[:-1] & (ids[k - 1 :] >= 0)
-        codes = codes[:-1] * base + ids[k - 1 :]
-        if np.count_nonzero(inside) < 4:
-            break
-        found = np.sort(codes[inside])
-        if not (found[3:] == found[:-3]).any():
-            break  # no phrase occurs 4 times, and longer ones are no more frequent
-        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        times = np.diff(starts, append=len(found))
-        at = int(times.argmax())
-        n, code, length = int(times[at]), int(found[starts[at]]), 0
-        for _ in range(k):
-            length, code = length + len(words[code % base]), code // base
-        # a phrase of one word over and over overlaps itself
-        best = max(best, min(1.0, n * length / total))
-    return best
+        codes = [a * base + b if a >= 0 <= b else -1 for a, b in zip(codes, ids[k - 1 :])]
+        found = Counter(codes)
+        found.pop(-1, None)
+        n = max(found.values(), default=0)
+        if n < 4:
+            break  # longer ones are no more frequent
+        for code in [c for c, m in found.items() if m == n]:
+            length = 0
+            for _ in range(k):
+                length, code = length + len(words[code % base]), code // base
+            best = max(best, n * length)
+    # a phrase of one word over and over overlaps itself
+    return min(1.0, best / total)
 
 
 #: Columns of ``text_statistics`` besides those kept.

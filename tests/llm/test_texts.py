@@ -174,6 +174,21 @@ def test_statistics_by_hand(spark):
     assert quality.text_statistics(df, "text", ["id"], common.limit(0)).first().common_word_share == 0.0
 
 
+def test_phrase_coverage_is_that_of_counting_each_phrase(spark):
+    def counted(tokens):
+        best = 0
+        for k in range(1, quality.PHRASE + 1):
+            times = Counter(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+            n = max(times.values(), default=0)
+            best = max([best, *(n * sum(map(len, p)) for p, m in times.items() if m == n and n >= 4)])
+        return min(1.0, best / sum(map(len, tokens)))
+
+    rnd = random.Random(5)
+    for size in range(1, 400):
+        tokens = [f"{'w' * (i % 5)}{i}" for i in (int(rnd.expovariate(0.15)) for _ in range(size))]
+        assert quality.phrase_coverage(tokens, Counter(tokens)) == pytest.approx(counted(tokens))
+
+
 def test_long_texts_are_taken_whole(spark):
     long = "The archivist was sitting near the loading dock and described the broken hinge to the trainee. " * 2
     df = spark.createDataFrame([(1, (long + "\n") * 3000)], "id int, text string")
