@@ -189,6 +189,40 @@ def test_phrase_coverage_is_that_of_counting_each_phrase(spark):
         assert quality.phrase_coverage(tokens, Counter(tokens)) == pytest.approx(counted(tokens))
 
 
+class Counting:
+    """A pattern that counts the signs it was put to."""
+
+    def __init__(self, pattern):
+        self.pattern, self.signs = pattern, 0
+
+    def findall(self, text):
+        self.signs += len(text)
+        return self.pattern.findall(text)
+
+
+def test_a_word_seen_before_is_not_matched_again(monkeypatch):
+    rnd = random.Random(3)
+    lines = [" ".join(rnd.choice(LANGUAGES[0].split()) for _ in range(20)) for _ in range(500)]
+    patterns = [Counting(quality._WORD), Counting(quality._CLAUSES)]
+    monkeypatch.setattr(quality, "_WORD", patterns[0])
+    monkeypatch.setattr(quality, "_CLAUSES", patterns[1])
+    assert sum(len(x) for _, x in quality.units(lines)) > 50_000
+    assert max(p.signs for p in patterns) < 1000
+
+
+def test_sums_over_pieces_are_those_of_the_whole_text():
+    signs = list("abXYZΣσİßñ019_") + list(" \n\t\x0b\x1c\x1f\x85\xa0\u3000\u2009 ") + list(".,;:!?…。！？、，؟،()[]|'’\"”»-–*") + list("日本語ไทยкоДα") + ["\u0300", "\u200b", "\U00020000", "( 1.5 s )"]
+    rnd = random.Random(7)
+    for size in range(1, 1500):
+        text = "".join(rnd.choices(signs, k=size % 150 + 1))
+        words, unspaced = len(quality._WORD.findall(text)), len(quality._UNSPACED.findall(text))
+        assert quality._counts(text) == (words + unspaced // 2, len(quality._CLAUSES.findall(text)))
+        assert quality._tokens(text.split()) == quality._TOKEN.findall(text.lower())
+        assert quality._ends(text) == bool(quality._ENDS.search(text))
+        letters, digits, blanks, *_ = quality.signs_of(text)
+        assert letters == sum(map(str.isalpha, text)) and digits == sum(c.isalnum() and not c.isalpha() for c in text) and blanks == sum(map(str.isspace, text))
+
+
 def test_long_texts_are_taken_whole(spark):
     long = "The archivist was sitting near the loading dock and described the broken hinge to the trainee. " * 2
     df = spark.createDataFrame([(1, (long + "\n") * 3000)], "id int, text string")
